@@ -180,3 +180,11 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """``keep``, the statistics, base_failed and kept for each document."""
     return stats(docs, keep).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_rows(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that the base rules and the list keep, unchanged."""
+    hidden = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    named = docs.select(*[docs[c].alias(hidden.get(c, c)) for c in docs.columns])
+    judged = stats(named, named.columns).where(~base_failed() & verdict(rules))
+    return judged.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
