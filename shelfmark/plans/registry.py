@@ -1,4 +1,526 @@
-"""Registered queries over the driver tables, and their SQL."""
+r"""Registered queries over the driver tables, with SQL that gives the same rows.
 
-QUERIES: dict = {}
+An order stands for a kit, its line items for the files of a folder, joined to
+parts for their names; region\nation\customer\order-key is its path; region and
+nation prefixes are scan roots.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import classify as c
+from ..functions import scalars as s
+from ..functions.display import display_fields
+from ..operators import duplicates as dup
+from ..operators import hydration, merge, relocate, reports, sources
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Our own rules, over the words of part names.
+RULES = c.Rules(
+    categories=[("Rings", r"\bring\b|gasket"), ("Gears", r"gear|gizmo"), ("Colours", r"red|blue|green|white")],
+    factions=[("Large", r"\b(large|big)\b"), ("Small", r"small|mini")],
+    types=[("standard", r"standard|promo"), ("economy", r"economy"), ("round", r"ring|widget")],
+    war_pattern=r"widget|bolt",
+    war_category="Hardware",
+    default_category="Other",
+)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# kits ----------------------------------------------------------------------
+def kits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ord, path, size_bytes, model_files, part_count, primary of each order."""
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("size"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("name"))
+    return files.join(names, "l_partkey").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.sum("size").alias("size_bytes"), F.array_sort(F.collect_list("name")).alias("model_files"), F.count("*").alias("part_count"),
+        F.min(F.struct((-F.col("size")).alias("k"), F.col("name").alias("n")))["n"].alias("primary"),
+    ).withColumns({"ord": F.col("id"), "path": F.concat(F.lit("order-"), F.col("id").cast("string"))})
+
+
+_KITS = """k AS (SELECT l_orderkey AS id, sum(CAST(l_quantity AS BIGINT))::BIGINT AS size_bytes, list_sort(list(lower(p_name))) AS files, count(*) AS n,
+ min(struct_pack(k := -CAST(l_quantity AS BIGINT), n := lower(p_name))).n AS prim, 'order-' || l_orderkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
+_PRINTS = _KITS + """, f AS (SELECT *, substr(md5(array_to_string(files, '|') || '::' || n || '::' || size_bytes), 1, 16) AS fp, substr(md5(array_to_string(files, '|') || '::' || n), 1, 16) AS loose FROM k)"""
+_EXACT = _PRINTS + """, x AS (SELECT fp, count(*) AS copies, (sum(size_bytes) - arg_min(size_bytes, path))::BIGINT AS waste, min(id) AS first_ord FROM f GROUP BY fp HAVING count(*) >= 2)"""
+_NEAR = _EXACT + """, l AS (SELECT loose, count(*) AS copies, (sum(size_bytes) - arg_min(size_bytes, path))::BIGINT AS waste, min(id) AS first_ord, bool_and(fp IN (SELECT fp FROM x)) AS covered
+ FROM f GROUP BY loose HAVING count(*) >= 2), y AS (SELECT loose, copies, waste, first_ord FROM l WHERE NOT covered)"""
+
+
+@query(f"WITH {_KITS} SELECT id, n AS part_count, size_bytes, array_to_string(files, '|') AS files, prim AS primary_file FROM k")
+def kit_rollup(spark, sf_dir):
+    return kits(spark, sf_dir).select("id", "part_count", "size_bytes", F.array_join("model_files", "|").alias("files"), F.col("primary").alias("primary_file"))
+
+
+@query(f"WITH {_PRINTS} SELECT id, fp, loose FROM f")
+def kit_fingerprints(spark, sf_dir):
+    return dup.fingerprinted(kits(spark, sf_dir)).select("id", "fp", "loose")
+
+
+@query(f"WITH {_EXACT} SELECT 'exact-' || row_number() OVER (ORDER BY waste DESC, first_ord) AS grp, fp, copies, waste FROM x")
+def duplicates_exact(spark, sf_dir):
+    return dup.ranked(dup.exact_groups(dup.fingerprinted(kits(spark, sf_dir))), "exact").select("grp", "fp", "copies", "waste")
+
+
+@query(f"WITH {_NEAR} SELECT 'near-' || row_number() OVER (ORDER BY waste DESC, first_ord) AS grp, loose, copies, waste FROM y")
+def duplicates_near(spark, sf_dir):
+    return dup.ranked(dup.near_groups(dup.fingerprinted(kits(spark, sf_dir))), "near").select("grp", "loose", "copies", "waste")
+
+
+@query(f"WITH {_EXACT} SELECT fp, id, row_number() OVER (PARTITION BY fp ORDER BY path, id) AS place, ((size_bytes + 50000) // 100000) / 10.0 AS size_mb FROM f SEMI JOIN x USING (fp)")
+def duplicate_members(spark, sf_dir):
+    prints = dup.fingerprinted(kits(spark, sf_dir))
+    rows = dup.members(prints, dup.ranked(dup.exact_groups(prints), "exact"), "fp")
+    return rows.select("fp", "id", F.col("place").cast("long").alias("place"), s.megabytes("size_bytes", 1).alias("size_mb"))
+
+
+@query(f"""WITH {_NEAR} SELECT (SELECT count(*) FROM x) AS exact_groups, (SELECT coalesce(sum(copies - 1), 0)::BIGINT FROM x) AS exact_extra, (SELECT coalesce(sum(waste), 0)::BIGINT FROM x) AS exact_waste,
+ (SELECT count(*) FROM y) AS near_groups, (SELECT coalesce(sum(copies - 1), 0)::BIGINT FROM y) AS near_extra, (SELECT coalesce(sum(waste), 0)::BIGINT FROM y) AS near_waste""")
+def duplicate_totals(spark, sf_dir):
+    prints = dup.fingerprinted(kits(spark, sf_dir))
+    exact = dup.exact_groups(prints)
+    return dup.totals(exact, dup.near_groups(prints, exact))
+
+
+@query("SELECT md5(text) AS digest, count(*) AS copies, (sum(n_chars) - arg_min(n_chars, doc_id))::BIGINT AS waste FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def doc_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.md5("text").alias("digest"))
+    return docs.groupBy("digest").agg(F.count("*").alias("copies"), (F.sum("n_chars") - F.min_by("n_chars", "doc_id")).alias("waste")).where("copies >= 2")
+
+
+# scalars -------------------------------------------------------------------
+@query("SELECT page_id, substr(sha1(rtrim(replace(lower(trim(url)), '/', chr(92)), chr(92))), 1, 16) AS id, len(list_filter(string_split(replace(url, '/', chr(92)), chr(92)), lambda x: x <> '')) AS n_segments FROM pages")
+def stable_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", s.stable_id("url").alias("id"), F.size(s.segments("url")).cast("long").alias("n_segments"))
+
+
+@query("SELECT page_id, 'file:///' || replace(replace(replace(replace(replace(url_encode(url), '+', '%20'), '%2F', '/'), '%3A', ':'), '*', '%2A'), '%7E', '~') AS uri FROM pages")
+def file_uris(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", s.file_uri("url").alias("uri"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, sum(CAST(l_extendedprice * 100 AS BIGINT))::BIGINT AS b FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, ((b + 50000) // 100000) / 10.0 AS mb1, ((b + 5000) // 10000) / 100.0 AS mb2,
+ CASE WHEN b // 1000 < 90 THEN (b // 1000) || 's' WHEN b // 60000 < 90 THEN (b // 60000) || 'm' ELSE (b // 3600000) || 'h' || lpad(((b // 60000) % 60)::VARCHAR, 2, '0') || 'm' END AS took FROM t""")
+def size_mb(spark, sf_dir):
+    b = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum((F.col("l_extendedprice") * 100).cast("decimal(20,0)").cast("long")).alias("b"))
+    return b.select("l_orderkey", s.megabytes("b", 1).alias("mb1"), s.megabytes("b", 2).alias("mb2"), s.duration(F.floor(F.col("b") / 1000)).alias("took"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(spark, sf_dir):
+    keys = [F.get_json_object("props", f"$.{k}").alias(k) for k in ("page", "ref", "k")]
+    return table(spark, sf_dir, "events").select("event_id", *keys)
+
+
+# classification ------------------------------------------------------------
+def _case(pairs: c.Pairs, hay: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({hay}, '(?i){p}') THEN '{label}'" for label, p in pairs) + " END"
+
+
+def _types(hay: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({hay}, '(?i){p}') THEN 'type:{label}' END" for label, p in RULES.types) + "], lambda x: x IS NOT NULL)"
+
+
+_HAY = "lower(p_brand || ' ' || p_name || ' ' || p_name)"
+_CLASSED = f"""h AS (SELECT p_partkey, p_type, p_name, {_HAY} AS hay, lower(p_type) AS inner_hay FROM part),
+ a AS (SELECT *, coalesce({_case(RULES.factions, 'hay')}, {_case(RULES.factions, 'inner_hay')}) AS faction FROM h),
+ b AS (SELECT *, CASE WHEN faction IS NOT NULL OR regexp_matches(hay, '(?i){RULES.war_pattern}') OR regexp_matches(inner_hay, '(?i){RULES.war_pattern}') THEN '{RULES.war_category}'
+   ELSE coalesce({_case(RULES.categories, 'hay')}, {_case(RULES.categories, 'inner_hay')}, '{RULES.default_category}') END AS category,
+   CASE WHEN len({_types('hay')}) > 0 THEN {_types('hay')} ELSE {_types('inner_hay')} END AS types FROM a)"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    path = F.concat("p_brand", F.lit(" "), "p_name")
+    return part.select("p_partkey", "p_name", "p_type", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("size_bytes"), path.alias("path"), F.col("p_name").alias("name"),
+                       F.array(F.concat("p_type", F.lit(".stl"))).alias("model_files"), F.col("p_partkey").alias("ord"))
+
+
+def _labelled(rows: DataFrame, rules: c.Rules) -> DataFrame:
+    return rows.withColumns(c.classified(rules, "path", "name", "model_files"))
+
+
+@query(f"WITH {_CLASSED} SELECT p_partkey, category, faction, array_to_string(list_concat(CASE WHEN faction IS NULL THEN [] ELSE ['faction:' || faction] END, types), '|') AS tags FROM b")
+def classify_parts(spark, sf_dir):
+    return _labelled(_parts(spark, sf_dir), RULES).select("p_partkey", "category", "faction", F.array_join("labels", "|").alias("tags"))
+
+
+@query(f"SELECT p_partkey, {_case(RULES.categories, 'p_name')} AS label FROM part")
+def classify_first_match(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", c.first_match(RULES.categories, F.col("p_name")).alias("label"))
+
+
+@query(f"SELECT p_partkey, array_to_string({_types('p_name')}, '|') AS labels FROM part")
+def types_all_match(spark, sf_dir):
+    labels = F.transform(c.all_matches(RULES.types, F.col("p_name")), lambda t: F.concat(F.lit("type:"), t))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(labels, "|").alias("labels"))
+
+
+_CAP = 60
+
+
+@query(f"""WITH {_KITS}, u AS (SELECT id, unnest(files) AS name, generate_subscripts(files, 1) AS pos FROM k),
+ d AS (SELECT id, name, min(pos) AS pos FROM u GROUP BY id, name), r AS (SELECT *, coalesce(sum(length(name) + 1) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+ h AS (SELECT id, string_agg(name, ' ' ORDER BY pos) FILTER (WHERE before < {_CAP}) AS hay FROM r GROUP BY id)
+ SELECT id, hay, {_case(RULES.factions, 'hay')} AS faction FROM h""")
+def filename_fallback(spark, sf_dir):
+    rows = kits(spark, sf_dir).select("id", c.haystack(F.transform("model_files", lambda f: F.concat(f, F.lit(".STL"))), _CAP).alias("hay"))
+    return rows.withColumn("faction", c.first_match(RULES.factions, F.col("hay")))
+
+
+@query(f"WITH {_CLASSED} SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS size_bytes FROM b JOIN part USING (p_partkey) WHERE category = '{RULES.default_category}' AND faction IS NULL ORDER BY size_bytes DESC, p_partkey LIMIT 25")
+def unmatched_top(spark, sf_dir):
+    return reports.unmatched_top(_labelled(_parts(spark, sf_dir), RULES), RULES.default_category).select("p_partkey", "size_bytes")
+
+
+@query(f"WITH {_CLASSED} SELECT count(*) FILTER (WHERE category = '{RULES.default_category}' AND faction IS NULL) AS unmatched, count(*) AS total FROM b")
+def unmatched_counts(spark, sf_dir):
+    return reports.unmatched_counts(_labelled(_parts(spark, sf_dir), RULES), RULES.default_category)
+
+
+_OTHER = c.Rules(categories=RULES.categories[::-1], factions=RULES.factions[:1], types=RULES.types, war_pattern="", default_category="Other", match_filenames=False)
+_DIFF = f"""WITH {_CLASSED}, o AS (SELECT *, {_case(_OTHER.factions, 'hay')} AS f2 FROM b),
+ n AS (SELECT *, CASE WHEN f2 IS NOT NULL THEN 'Wargaming' ELSE coalesce({_case(_OTHER.categories, 'hay')}, 'Other') END AS c2 FROM o)"""
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _labelled(_parts(spark, sf_dir), RULES).drop("labels").withColumns({"source": F.lit("s"), "formats": F.array(F.lit("stl")), "packed": F.lit(False), "tags": F.array(F.lit("t"))})
+    roots = spark.createDataFrame([], "root string, ord int")
+    return reports.reclassified(old, _OTHER, roots)
+
+
+@query(f"{_DIFF} SELECT p_partkey, category, c2 AS new_category, faction, f2 AS new_faction FROM n WHERE category IS DISTINCT FROM c2 OR faction IS DISTINCT FROM f2")
+def reclassify_diff(spark, sf_dir):
+    diff = _diff(spark, sf_dir).where(~F.col("category").eqNullSafe(F.col("new_category")) | ~F.col("faction").eqNullSafe(F.col("new_faction")))
+    return diff.select("p_partkey", "category", "new_category", "faction", "new_faction")
+
+
+@query(f"{_DIFF} SELECT count(*) FILTER (WHERE category IS DISTINCT FROM c2) AS category, count(*) FILTER (WHERE faction IS DISTINCT FROM f2) AS faction FROM n")
+def reclassify_counts(spark, sf_dir):
+    return reports.change_counts(_diff(spark, sf_dir)).select("category", "faction")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part)
+ SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(a, ['zip']))), '|') AS formats, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), '|') AS added FROM t""")
+def tag_arrays(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("new_tags"), F.split(F.lower("p_type"), " ").alias("tags"))
+    diff = reports.tag_changes(part)
+    return diff.select("p_partkey", F.array_join(F.array_sort(F.array_union("new_tags", F.array(F.lit("zip")))), "|").alias("formats"), F.array_join(F.array_sort("added"), "|").alias("added"))
+
+
+# scan roots and display ----------------------------------------------------
+_ROOTS = """g AS (SELECT r_name AS root, r_regionkey AS ord FROM region UNION ALL SELECT r_name || chr(92) || n_name, 100 + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 AND r_regionkey < 4),
+ p AS (SELECT c_custkey, r_name || chr(92) || n_name || chr(92) || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ m AS (SELECT c_custkey, path, root, ord FROM p LEFT JOIN g ON lower(path) = lower(root) OR starts_with(lower(path), lower(root) || chr(92)))"""
+
+
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    some = nation.where("n_nationkey % 2 = 0").join(region.where("r_regionkey < 4"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return region.select(F.col("r_name").alias("root"), F.col("r_regionkey").alias("ord")).unionByName(some.select(F.concat_ws("/", "r_name", "n_name").alias("root"), (F.col("n_nationkey") + 100).alias("ord")))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("c_custkey", F.concat_ws("\\", "r_name", "n_name", "c_name").alias("path"))
+
+
+@query(f"WITH {_ROOTS} SELECT c_custkey, replace(arg_max(root, struct_pack(l := length(root), o := -ord)), chr(92), '/') AS root FROM m GROUP BY c_custkey")
+def source_longest_prefix(spark, sf_dir):
+    return sources.longest_root(_paths(spark, sf_dir), _roots(spark, sf_dir)).select("c_custkey", "root")
+
+
+@query(f"WITH {_ROOTS}, f AS (SELECT c_custkey, arg_min(root, ord) AS root FROM m GROUP BY c_custkey) SELECT replace(g.root, chr(92), '/') AS root, count(f.c_custkey) AS n FROM g LEFT JOIN f ON f.root = g.root GROUP BY g.root")
+def source_counts(spark, sf_dir):
+    return sources.root_counts(_paths(spark, sf_dir), _roots(spark, sf_dir)).where("root is not null")
+
+
+@query(f"WITH {_ROOTS} SELECT c_custkey, split_part(arg_max(root, struct_pack(l := length(root), o := -ord)), chr(92), -1) AS source FROM m GROUP BY c_custkey")
+def source_labels(spark, sf_dir):
+    placed = sources.longest_root(_paths(spark, sf_dir), _roots(spark, sf_dir))
+    return placed.select("c_custkey", c.source_label(RULES, "path", F.col("root")).alias("source"))
+
+
+@query("""WITH o AS (SELECT DISTINCT lower(n_name) AS k, n_name FROM nation) SELECT n_name AS root FROM nation WHERE n_nationkey % 3 <> 0 AND lower(n_name) NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 5 = 0)""")
+def source_edits(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    lines = nation.select(F.concat(F.lit(" "), "n_name", F.lit("\\")).alias("line"), F.col("n_nationkey").alias("ord")).where("ord % 3 <> 0")
+    twice = lines.unionByName(nation.select(F.upper("n_name").alias("line"), (F.col("n_nationkey") + 100).alias("ord")).where("(ord - 100) % 3 <> 0"))
+    gone = nation.where("n_nationkey % 5 = 0").select(F.lower("n_name").alias("root"))
+    return sources.without_sources(sources.unique_sources(twice), gone).select("root")
+
+
+_GENERIC = ("files", "parts", "stl")
+
+
+@query("""WITH p AS (SELECT o_orderkey, r_name AS a, n_name AS b, c_name AS c, o_orderkey % 3 AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+ SELECT o_orderkey, CASE WHEN k = 2 THEN 'order-' || o_orderkey ELSE c END AS display_name, b AS collection, b || CASE WHEN k = 0 THEN '' ELSE ' › Files' END || CASE WHEN k = 2 THEN ' › ' || c ELSE '' END AS breadcrumb FROM p""")
+def display_field_parts(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey") % 3
+    # root\nation\customer\parts, root\nation\Files\customer\STL and root\nation\files\FILES\customer\order
+    tail = F.when(k == 0, F.concat_ws("/", "c_name", F.lit("parts"))).when(k == 1, F.concat_ws("\\", F.lit("Files"), "c_name", F.lit("STL"))).otherwise(F.concat_ws("/", F.lit("Files"), F.lit("FILES"), "c_name", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))))
+    roots = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    rows = joined.select("o_orderkey", F.concat_ws("/", "r_name", "n_name", tail).alias("path"))
+    return rows.select("o_orderkey", *[col.alias(n) for n, col in display_fields("path", roots, _GENERIC).items()])
+
+
+# merging -------------------------------------------------------------------
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id DESC) AS k FROM events WHERE user_id % 7 <> event_id % 2),
+ o AS (SELECT * FROM e WHERE k = 1 AND event_id % 2 = 0), n AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS et FROM e WHERE k = 1 AND event_id % 2 = 1)
+ SELECT coalesce(o.user_id, n.user_id) AS id, CASE WHEN n.user_id IS NOT NULL THEN n.et ELSE o.event_type END AS status, o.props AS note FROM o FULL JOIN n ON o.user_id = n.user_id""")
+def catalog_upsert(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("user_id % 7 <> event_id % 2").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.col("event_type").alias("status"), F.col("props").alias("note"))
+    old = merge.last_write_wins(events.where("ord % 2 = 0")).drop("ord")
+    new = merge.last_write_wins(events.where("ord % 2 = 1")).withColumn("status", F.when(F.col("id") % 3 != 0, F.col("status")))
+    return merge.upsert(old, new.drop("ord"), ["status"])
+
+
+@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def already_done_anti(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit("project").alias("type"), F.col("n_chars").alias("size_bytes"), F.col("doc_id").alias("ord"))
+    return merge.to_render(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "source")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN s WHEN s IN ('mesh', 'reused') THEN s ELSE 'existing' END AS status, CASE WHEN l.doc_id IS NOT NULL THEN d.doc_id || '.webp' END AS thumbnail
+ FROM (SELECT *, ['mesh', 'pending', 'failed', 'reused'][1 + doc_id % 4] AS s FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
+def already_done_semi(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ("mesh", "pending", "failed", "reused"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), status.alias("thumb_status"), F.lit(None).cast("string").alias("thumbnail"), F.lit("e").alias("thumb_error"))
+    done = merge.mark_rendered(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")))
+    return done.select(F.col("id").cast("long").alias("doc_id"), F.col("thumb_status").alias("status"), "thumbnail")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.thumb ELSE s END AS status, CASE WHEN l.doc_id IS NOT NULL AND s <> 'mesh' THEN 'q' || d.doc_id WHEN l.doc_id IS NULL THEN 'old' END AS error,
+ CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 3 > 0 THEN d.doc_id % 3 ELSE 9 END::INT AS part_count FROM (SELECT *, 'pending' AS thumb FROM documents) d LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'mesh' ELSE 'failed' END AS s FROM labels) l USING (doc_id)""")
+def result_attach(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("pending").alias("thumb_status"), F.lit("old").alias("thumb_error"), F.lit(None).cast("string").alias("thumbnail"),
+                                                    F.lit(9).alias("part_count"), F.lit(0).cast("long").alias("inner_bytes"), none.alias("model_files"), none.alias("formats"))
+    status = F.when(F.col("quality") == 1, "mesh").otherwise("failed")
+    results = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), status.alias("status"), F.when(status != "mesh", F.concat(F.lit("q"), F.col("doc_id").cast("string"))).otherwise("").alias("detail"),
+                                                    (F.col("doc_id") % 3).cast("int").alias("part_count"), F.lit(None).cast("long").alias("inner_bytes"), none.alias("model_files"), none.alias("formats"))
+    out = merge.attach_results(docs, results)
+    return out.select(F.col("id").cast("long").alias("doc_id"), F.col("thumb_status").alias("status"), F.col("thumb_error").alias("error"), "part_count")
+
+
+@query("SELECT doc_id FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels) OR source IN ('src1', 'src2', 'src3')")
+def prune_guarded(spark, sf_dir):
+    path = F.concat_ws("\\", "source", F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "source")
+    known = docs.select(F.col("source").alias("root")).distinct().withColumns({"ord": F.lit(0), "reachable": ~F.col("root").isin("src1", "src2", "src3")})
+    present = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select("path")
+    kept, _ = merge.prune(sources.unreachable(docs.select("id", "path"), known), present)
+    return kept.select(F.col("id").alias("doc_id"))
+
+
+@query("""WITH t AS (SELECT doc_id, md5(text) AS fp, doc_id % 2 = 1 AS present FROM documents), p AS (SELECT fp, min(doc_id) AS new_id FROM t WHERE present GROUP BY fp HAVING count(*) = 1)
+ SELECT fp, new_id, doc_id AS old_id, row_number() OVER (PARTITION BY fp ORDER BY doc_id DESC) = 1 AS survives FROM t JOIN p USING (fp) WHERE NOT present""")
+def relocate_unique(spark, sf_dir):
+    prints = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("fp"), (F.col("doc_id") % 2 == 1).alias("present"), F.col("doc_id").alias("ord"))
+    return relocate.moves(prints).select("fp", "new_id", "old_id", "survives")
+
+
+@query("""WITH t AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, md5(text) AS path, CASE WHEN doc_id % 3 = 0 THEN 'x' END AS thumb FROM documents)
+ SELECT path, arg_max(id, struct_pack(c := id = substr(sha1(path), 1, 16), t := thumb IS NOT NULL, i := id)) AS id, bool_or(thumb IS NOT NULL) AS pictured FROM t GROUP BY path""")
+def path_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), F.lit("project").alias("type"), F.md5("text").alias("path"), F.when(F.col("doc_id") % 3 == 0, "x").alias("thumbnail"), F.lit("mesh").alias("thumb_status"))
+    return merge.dedupe_paths(rows).select("path", "id", F.col("thumbnail").isNotNull().alias("pictured"))
+
+
+# reports -------------------------------------------------------------------
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("thumb_status"))
+
+
+_STATUS = "s AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_type ELSE 'pending' END AS status FROM events)"
+
+
+@query(f"WITH {_STATUS} SELECT status, count(*) AS n, row_number() OVER (ORDER BY status) AS place FROM s GROUP BY status")
+def status_histogram(spark, sf_dir):
+    return reports.status_summary(_statuses(spark, sf_dir))
+
+
+@query(f"WITH {_STATUS} SELECT * FROM (SELECT status, event_id, row_number() OVER (PARTITION BY status ORDER BY event_id) AS place FROM s) WHERE place <= 3")
+def status_examples(spark, sf_dir):
+    out = reports.status_examples(_statuses(spark, sf_dir))
+    return out.select("status", F.col("ord").alias("event_id"), F.col("place").cast("long").alias("place"))
+
+
+def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        i.alias("id"), i.alias("ord"), F.when(i % 4 == 0, "archive").otherwise("project").alias("type"), F.when(i % 3 == 0, "t").alias("thumbnail"), "lang", "source", F.col("n_chars").alias("size_bytes"),
+        F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("model_files"), (i % 2).alias("n_disk"), (i % 7).alias("n_cloud"), F.concat_ws("/", "source", "lang", i.cast("string")).alias("path"),
+    )
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 4 <> 0) AS projects, count(*) FILTER (WHERE doc_id % 4 = 0) AS archives, count(*) FILTER (WHERE doc_id % 3 = 0) AS thumbnails_rendered FROM documents")
+def header_counts(spark, sf_dir):
+    return reports.header_counts(_doc_items(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id AS i, doc_id % 3 <> 0 AS p, doc_id % 5 = 0 AS z FROM documents WHERE doc_id % 4 <> 0)
+ SELECT count(*) AS projects, count(*) FILTER (WHERE NOT p) AS with_picture, count(*) FILTER (WHERE p) AS pending, count(*) FILTER (WHERE p AND z) AS no_model_file, count(*) FILTER (WHERE p AND NOT z AND i % 2 > 0) AS hydrated,
+ count(*) FILTER (WHERE p AND NOT z AND i % 2 = 0 AND i % 7 > 0) AS cloud, count(*) FILTER (WHERE p AND NOT z AND i % 2 = 0 AND i % 7 = 0) AS missing FROM d""")
+def diagnose_counts(spark, sf_dir):
+    return reports.diagnose_counts(_doc_items(spark, sf_dir))
+
+
+@query("SELECT 'lang' AS facet, lang AS value FROM documents GROUP BY ALL UNION ALL SELECT 'source', source FROM documents GROUP BY ALL")
+def facets(spark, sf_dir):
+    return reports.facets(_doc_items(spark, sf_dir), ["lang", "source"])
+
+
+def _gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select(F.col("p_name").alias("n"), F.col("p_brand").alias("c"), F.lit("").alias("f"), F.col("p_type").alias("s"), F.concat(F.lit("k"), (F.col("p_size") % 5).cast("string")).alias("col"), (F.col("p_size") % 2).alias("p"),
+                       F.when(F.col("p_partkey") % 3 == 0, "t").otherwise("").alias("t"), F.lit("failed").alias("ts"), F.concat_ws("/", "p_brand", "p_name").alias("path"), F.col("p_partkey").alias("ord"))
+
+
+_ROWS = "r AS (SELECT p_partkey AS ord, p_name AS n, p_brand AS c, 'k' || p_size % 5 AS col, p_size % 2 AS p, p_partkey % 3 = 0 AS pic, p_brand || '/' || p_name AS path FROM part)"
+
+
+@query(f"WITH {_ROWS} SELECT ord, n, c FROM r WHERE p = 1 AND NOT pic AND (contains(lower(n), 'ring') OR contains(lower(path), 'ring') OR contains(lower(col), 'ring'))")
+def gallery_filter(spark, sf_dir):
+    from .views import gallery_query
+
+    return gallery_query(_gallery(spark, sf_dir), packed=True, picture=False, text="RING", whole=True).select("ord", "n", "c")
+
+
+@query(f"""WITH {_ROWS}, q AS (SELECT ord, n, col FROM r ORDER BY col, n, ord LIMIT 120 OFFSET 120)
+ SELECT ord, n, col, coalesce(col IS DISTINCT FROM lag(col) OVER (ORDER BY col, n, ord), true) AS header FROM q""")
+def gallery_page(spark, sf_dir):
+    from .views import gallery_query
+
+    return gallery_query(_gallery(spark, sf_dir), group_by="col", page=1).select("ord", "n", "col", "header")
+
+
+@query("SELECT doc_id, source, coalesce(source <> lag(source) OVER (PARTITION BY lang ORDER BY source, doc_id), true) AS header FROM documents")
+def group_headers(spark, sf_dir):
+    before = F.lag("source").over(Window.partitionBy("lang").orderBy("source", "doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", (~F.col("source").eqNullSafe(before)).alias("header"))
+
+
+_STEP, _N = 7, 8
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS place, count(*) OVER () AS n FROM documents)
+ SELECT doc_id, place FROM r WHERE (place - 1) % greatest(1, n // {_STEP}) = 0 AND place <= greatest(1, n // {_STEP}) * {_STEP - 1} + 1""")
+def stride_sample(spark, sf_dir):
+    out = reports.stride_sample(_doc_items(spark, sf_dir), _STEP, ["size_bytes", "ord"])
+    return out.select(F.col("id").alias("doc_id"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+ SELECT doc_id, place FROM r WHERE place IN (SELECT round_even(i * (n - 1) / {_N - 1}.0, 0)::BIGINT FROM range({_N}) t(i))""")
+def quantile_sample(spark, sf_dir):
+    out = reports.quantile_sample(_doc_items(spark, sf_dir), _N, [F.desc("size_bytes"), F.col("ord")])
+    return out.select(F.col("id").alias("doc_id"), F.col("place").cast("long").alias("place"))
+
+
+# elapsed time is two seconds an item, which the fit finds exactly
+@query("""WITH t AS (SELECT o_custkey % 50 AS run, o_orderkey, row_number() OVER w::DOUBLE AS n, count(*) OVER (PARTITION BY o_custkey % 50)::DOUBLE AS na FROM orders WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY o_orderkey))
+ SELECT run, o_orderkey, CASE WHEN n >= na THEN 0.0 WHEN n >= 8 THEN round((na - n) * 2.0, 2) END AS fresh FROM t""")
+def running_fit(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("run"), "o_orderkey", F.col("o_totalprice").cast("decimal(20,0)").cast("long").alias("size"))
+    timed = orders.withColumn("elapsed", 2.0 * F.row_number().over(Window.partitionBy("run").orderBy("o_orderkey")))
+    return reports.running_fit(timed, "o_orderkey", "size", "elapsed").select("run", "o_orderkey", (F.round("fresh", 2) + 0.0).alias("fresh"))
+
+
+# files ---------------------------------------------------------------------
+def _tree() -> Path:
+    """A small folder tree with everything that a listing has to get right."""
+    root = Path(tempfile.mkdtemp(prefix="shelfmark-tree-"))
+    for name, size in (("Kit A/body.stl", 184), ("Kit A/arm.STL", 284), ("Kit A/preview.png", 9), ("Kit A/notes.txt", 5), ("Kit A/._junk.stl", 3), ("Kit B/_under.stl", 20), (".hid/h.stl", 21), ("Kit B/100%.stl", 22), ("__MACOSX/x.stl", 1), ("top.obj", 7)):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"0" * size)
+    with zipfile.ZipFile(root / "Kit B/pack.zip", "w") as archive:
+        for name, size in (("a.stl", 284), ("in/b.stl", 384), ("c.obj", 10), ("notes.txt", 4), ("__MACOSX/._a.stl", 4), ("render.png", 8)):
+            archive.writestr(name, b"0" * size)
+    (root / "Kit B/broken.zip").write_bytes(b"no zip")
+    (root / "Kit B/old.rar").write_bytes(b"Rar!")
+    return root
+
+
+@query()
+def scan_tree(spark, sf_dir):
+    from ..sources import tree
+
+    root = str(_tree())
+    rows = tree.scan(spark, [root])
+    return rows.select(F.replace("dir", F.lit(root), F.lit("~")).alias("dir"), "name", "size", "is_symlink", "unreadable")
+
+
+@query()
+def zip_rollup(spark, sf_dir):
+    from ..sources import archives, tree
+
+    root = str(_tree())
+    packed = tree.scan(spark, [root], extensions="zip,rar").select(F.concat_ws("/", "dir", "name").alias("path"))
+    found = archives.contents(packed)
+    return found.select(F.replace("path", F.lit(root), F.lit("~")).alias("path"), "status", "detail", "part_count", "inner_bytes", F.array_join("model_files", "|").alias("model_files"), F.array_join("formats", "|").alias("formats"))
+
+
+@query()
+def scanned_items(spark, sf_dir):
+    from ..operators import rollup
+    from ..sources import tree
+
+    root = str(_tree())
+    roots = spark.createDataFrame([(root, 0)], "root string, ord int")
+    out = rollup.items(tree.scan(spark, [root]), RULES, roots)
+    return out.select(F.replace("path", F.lit(root), F.lit("~")).alias("path"), "name", "type", "part_count", "size_bytes", "primary_file", F.array_join("formats", "|").alias("formats"), "category", "thumb_status")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderkey % 7 AS m FROM orders), d AS (SELECT id, k, list_filter([0, 1, 2], lambda j: k <> 0 AND (m + j) % 3 = 0) AS disk, list_filter([0, 1, 2], lambda j: k <> 0 AND (m + j) % 3 = 1 AND k <> 4) AS cloud FROM k)
+ SELECT id, CASE WHEN k = 0 THEN 'no_model_file' WHEN k >= 3 AND len(cloud) > 0 THEN 'cloud_only' WHEN k >= 3 THEN 'missing' WHEN len(disk) > 0 THEN NULL END AS skip FROM d""")
+def hydration_status(spark, sf_dir):
+    i = F.col("o_orderkey")
+    files = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda j: F.concat(F.lit("p"), j.cast("string")))
+    items = table(spark, sf_dir, "orders").select(i.alias("id"), F.concat(F.lit("o"), i.cast("string")).alias("path"), F.lit("project").alias("type"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(files).alias("model_files"))
+    parts = items.select("id", "path", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    where = (F.col("id") % 7 + F.col("j")) % 3
+    state = F.when((where == 0) & (F.col("id") % 5 < 3), True).when((where == 1) & (F.col("id") % 5 != 4), False)
+    probe = parts.select(F.concat("path", F.lit("/p"), F.col("j").cast("string")).alias("path"), state.alias("hydrated")).where("hydrated is not null")
+    return hydration.skip_status(items, probe).select("id", "skip")
+
+
+@query()
+def catalog_cycle(spark, sf_dir):
+    """Scan, look inside archives, and list the catalog's CSV rows."""
+    from .catalog import Catalog
+    from .views import csv_rows
+
+    root = _tree()
+    catalog = Catalog(spark, Path(tempfile.mkdtemp(prefix="shelfmark-catalog-")), RULES)
+    catalog.scan([str(root)])
+    catalog.look_inside()
+    return csv_rows(catalog.items(), catalog.sources(), RULES).select("name", "type", "display_name", "collection", "part_count", "formats", "size_mb", "thumb_status", "thumb_error")
+
+
+
