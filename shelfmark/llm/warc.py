@@ -10,8 +10,8 @@ Reader: archives are parsed record by record; continuation records are grouped
 by the identifier of their origin, ordered by segment number, checked for gaps
 and against the total length, joined, and the chunked framing is decoded.
 
-Archives are written by Spark's own text writer, so any file system that Spark
-reaches can hold them; records are bytes and every record ends in \r\n\r\n.
+Archives are written, gzipped, by Spark's own text writer, so any file system
+that Spark reaches can hold them; records are bytes and end in \r\n\r\n.
 Null html is an empty payload. A row without page_id gives a record without one,
 and is a revisit if a row with an id has its payload. Rows that share page_id
 and payload are all responses if theirs is the largest id. An empty table gives
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -125,7 +126,17 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     made = rows.mapInArrow(run, "record binary")
-    made.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def inflated(archive: bytes) -> bytes:
+    """The records of an archive file, which may be gzip members."""
+    parts = []
+    while archive.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(archive))
+        archive = member.unused_data
+    return b"".join(parts) if parts else archive
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -181,7 +192,7 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for h, block in parse(archive.as_py()):
+                for h, block in parse(inflated(archive.as_py())):
                     segment = whole(h.get("warc-segment-number"))
                     kind = h.get("warc-type")
                     body = block if segment else payload_of(block) if kind == "response" else None
