@@ -79,8 +79,7 @@ class Catalog:
         new = new.crossJoin(top).withColumn("ord", F.col("_top") + 1 + F.row_number().over(_by_path())).drop("_top")
         merged = drop_ignored(merge.upsert(old, new, SCANNED))
         before = old.count()
-        self._save(merged)
-        self.mark_thumbnails()
+        self._save(merge.mark_rendered(merged, self.thumbnails()))
         after = self.items().count()
         return {"items": after, "added": after - before, "unreadable": files.where("unreadable").count()}
 

@@ -5,5 +5,5 @@ from shelfmark.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4)
+    session = local_session(8, 2)
     yield session
