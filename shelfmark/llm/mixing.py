@@ -9,7 +9,8 @@ the convex dual by safeguarded Newton steps over the histogram of sizes, a
 sufficient statistic that one aggregation gives. Rounding: each document gets
 the whole part of its rate, and the fractions are drawn by sequential Poisson
 sampling from a hash of doc_id, up to the document at which the source's words
-come closest to its target. Everything depends on rows alone, so reruns agree.
+come closest to its target; then one document, whose size best closes what is
+left, is drawn or put back. Everything depends on rows alone, so reruns agree.
 
 Null and empty texts have size 0 and are taken never. A null source is a source.
 Repeated rows are drawn one by one. An empty table gives no rows.
@@ -27,11 +28,21 @@ from .textkernel import map_texts
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-STEPS, CLOSE = 60, 1e-10
+#: Newton steps at most, so many in one job, and the gap that ends them, by source size.
+STEPS, AT_ONCE, CLOSE = 60, 5, 1e-6
 #: Bins of one step of the search for a source's cut; two steps are taken.
 BINS = 1024
 
 
+#: A table of one row a source is broadcast up to so many rows, and joined beyond.
+FEW_SOURCES = 50_000
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """``table`` (written before), to be broadcast if its rows are counted few."""
+    return F.broadcast(table) if table.count() <= FEW_SOURCES else table
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) of each row."""
     return map_texts(docs, lambda c: {"size": c.n_words.astype(np.int64)}, "size long", ["doc_id", "source"])
@@ -62,30 +73,41 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return table.select("sid", "source", "source_size", target.alias("target"))
 
 
+def _newton(histogram: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """One safeguarded step of every source; ``gap`` is that of the tilt before it."""
+    x = F.col("size") / F.col("scale")
+    p = 1 / (1 + F.exp(-F.col("tilt") * x))
+    kept = ("target", "source_size", "scale", "tilt", "low", "high")
+    now = histogram.join(state.select("sid", *kept), "sid").groupBy("sid").agg(
+        (F.sum(F.col("n") * F.col("size") * p * most) - F.first("target")).alias("gap"),
+        F.sum(F.col("n") * F.col("size") * x * p * (1 - p) * most).alias("slope"),
+        *[F.first(c).alias(c) for c in kept],
+    )
+    low = F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low"))
+    high = F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))
+    now = now.withColumns({"low": low, "high": high})
+    step = F.col("tilt") - F.col("gap") / F.greatest("slope", F.lit(1e-300))
+    beyond = F.col("tilt") - F.signum("gap") * (F.abs("tilt") + 1)
+    middle = F.when((F.col("low") > -np.inf) & (F.col("high") < np.inf), (F.col("low") + F.col("high")) / 2).otherwise(beyond)
+    inside = (step > F.col("low")) & (step < F.col("high")) & (F.abs(step - F.col("tilt")) <= 4 * (F.abs("tilt") + 1))
+    tilt = F.when(F.col("gap") == 0, F.col("tilt")).when(inside, step).otherwise(middle)
+    return now.select("sid", "target", "source_size", "scale", tilt.alias("tilt"), "low", "high", "gap")
+
+
 def _tilts(histogram: DataFrame, table: DataFrame, most: int) -> DataFrame:
-    """sid, scale, tilt: Newton's method for all sources at once."""
+    """sid, scale, tilt: Newton's method for all sources at once, a few steps
+    between two looks at how far the worst source is off."""
     state = table.where("source_size > 0").select("sid", "target", "source_size")
     mean = histogram.groupBy("sid").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
     state = state.join(mean, "sid").select("sid", "target", "source_size", "scale", F.lit(0.0).alias("tilt"), F.lit(-np.inf).alias("low"), F.lit(np.inf).alias("high"))
-    for _ in range(STEPS):
+    open_ = F.col("target") < F.col("source_size") * most * (1 - 1e-9)
+    for _ in range(STEPS // AT_ONCE):
+        for _ in range(AT_ONCE):
+            state = _newton(histogram, state, most)
         state = materialize(state, "tilts")
-        x = F.col("size") / F.col("scale")
-        p = 1 / (1 + F.exp(-F.col("tilt") * x))
-        words = F.sum(F.col("n") * F.col("size") * p * most)
-        slope = F.sum(F.col("n") * F.col("size") * x * p * (1 - p) * most)
-        at = histogram.join(state.select("sid", "tilt", "scale"), "sid").groupBy("sid").agg(words.alias("words"), slope.alias("slope"))
-        now = state.join(at, "sid").withColumn("gap", F.col("words") - F.col("target"))
-        worst = now.where(F.col("target") < F.col("source_size") * most * (1 - 1e-9)).agg(F.max(F.abs("gap") / F.col("source_size"))).first()[0]
+        worst = state.where(open_).agg(F.max(F.abs("gap") / F.col("source_size"))).first()[0]
         if worst is None or worst < CLOSE:
             break
-        low = F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low"))
-        high = F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))
-        now = now.withColumns({"low": low, "high": high})
-        step = F.col("tilt") - F.col("gap") / F.greatest("slope", F.lit(1e-300))
-        beyond = F.col("tilt") - F.signum("gap") * (F.abs("tilt") + 1)
-        middle = F.when((F.col("low") > -np.inf) & (F.col("high") < np.inf), (F.col("low") + F.col("high")) / 2).otherwise(beyond)
-        inside = (step > F.col("low")) & (step < F.col("high")) & (F.abs(step - F.col("tilt")) <= 4 * (F.abs("tilt") + 1))
-        state = now.select("sid", "target", "source_size", "scale", F.when(inside, step).otherwise(middle).alias("tilt"), "low", "high")
     return state.select("sid", "scale", "tilt")
 
 
@@ -94,17 +116,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rate, copies (0..most) and the words taken, copies * size."""
     sized = materialize(sizes(docs), "sizes")
     table = materialize(targets(sized, weights, share, most), "targets")
-    ided = sized.join(table, sized["source"].eqNullSafe(table["source"])).select("doc_id", "size", "sid", "source_size", "target")
+    ided = sized.join(_few(table), sized["source"].eqNullSafe(table["source"])).select("doc_id", "size", "sid", "source_size", "target")
     histogram = materialize(ided.where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "histogram")
     tilt = materialize(_tilts(histogram, table, most), "tilt")
 
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-9)
     rate = F.when(F.col("size") == 0, 0.0).when(full, float(most)).otherwise(most / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("scale"))))
     uniform = (F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rated = ided.join(tilt, "sid", "left").withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
+    rated = ided.join(_few(tilt), "sid", "left").withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
     # sequential Poisson sampling: by uniform / part, mapped to (0, 1)
     rated = rated.withColumn("q", F.when(F.col("part") > 1e-9, 1 / (1 + F.col("part") / uniform)))
-    rated = materialize(rated.select("doc_id", "sid", "size", "source_size", "target", "rate", "whole", "q"), "rates")
+    rated = rated.withColumn("row", F.monotonically_increasing_id())
+    rated = materialize(rated.select("row", "doc_id", "sid", "size", "source_size", "target", "rate", "whole", "q"), "rates")
     bin1 = F.least(F.floor(F.col("q") * BINS), F.lit(BINS - 1))
     bin2 = F.least(F.floor((F.col("q") * BINS - bin1) * BINS), F.lit(BINS - 1))
     binned = rated.withColumns({"bin1": bin1, "bin2": bin2})
@@ -120,20 +143,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     drawn = binned.where("q is not null")
     cut1 = materialize(cut(drawn, "bin1", base), "cut")
-    inner = drawn.join(cut1.drop("room"), "sid").where("bin1 = bin1_cut")
+    inner = drawn.join(_few(cut1.drop("room")), "sid").where("bin1 = bin1_cut")
     cut2 = materialize(cut(inner, "bin2", cut1.select("sid", "room")), "cut")
-    cuts = cut1.drop("room").join(cut2, "sid")
-    placed = binned.join(cuts, "sid", "left")
+    cuts = materialize(cut1.drop("room").join(cut2, "sid"), "cut")
+    placed = binned.join(_few(cuts), "sid", "left")
     first = (F.col("bin1") < F.col("bin1_cut")) | ((F.col("bin1") == F.col("bin1_cut")) & (F.col("bin2") < F.col("bin2_cut")))
     edge = (F.col("bin1") == F.col("bin1_cut")) & (F.col("bin2") == F.col("bin2_cut"))
     placed = placed.withColumn("edge", F.coalesce(edge, F.lit(False)))
-    out = ["doc_id", "size", "source_size", "target", "rate"]
+    out = ["row", "doc_id", "sid", "size", "source_size", "target", "rate", "whole", "q"]
     easy = placed.where("not edge").select(*out, (F.col("whole") + F.when(F.coalesce(first, F.lit(False)), 1).otherwise(0)).cast("int").alias("copies"))
     order = Window.partitionBy("sid").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("size").over(order)
     last = placed.where("edge").withColumn("upto", upto).select(*out, (F.col("whole") + F.when(F.col("upto") - F.col("size") / 2 <= F.col("room"), 1).otherwise(0)).cast("int").alias("copies"))
-    both = easy.unionByName(last)
-    return both.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    both = materialize(easy.unionByName(last), "copies")
+
+    # what the cut leaves open closes best with one document more or less
+    gap = both.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    can = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    free = both.where("size > 0").join(_few(materialize(gap, "gaps")), "sid").where(can)
+    after = F.abs(F.abs("gap") - F.col("size"))
+    swap = free.where(after < F.abs("gap")).groupBy("sid").agg(F.min(F.struct(after, F.xxhash64("doc_id"), "doc_id", "row")).alias("best"), F.first(F.signum("gap")).alias("step"))
+    swap = swap.select(F.col("best.row").alias("row"), F.col("step").cast("int").alias("step"))
+    done = both.join(_few(materialize(swap, "swaps")), "row", "left").withColumn("copies", (F.col("copies") + F.coalesce("step", F.lit(0))).cast("int"))
+    return done.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies").cast("long") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
