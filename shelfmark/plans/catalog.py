@@ -15,6 +15,7 @@ from ..operators import hydration, merge, relocate, reports, rollup
 from ..operators.sources import root_counts, unreachable
 from ..schema import IGNORED_DIRS, ITEM, SCANNED
 from ..sources import archives, tree
+from ..storage import materialize
 from . import views
 from .files import Snapshots, load_sources, save_sources
 
@@ -93,17 +94,18 @@ class Catalog:
 
     def relocate(self, prune: bool = False) -> dict[str, int]:
         items = self.items()
-        here = archives.probe(items).where("hydrated is not null")
-        moved, plan = relocate.relocate(items, here)
-        deduped = merge.dedupe_paths(moved)
+        here = materialize(archives.probe(items).where("hydrated is not null"), "present")
+        moved, plan = (materialize(df, "moves") for df in relocate.relocate(items, here))
+        deduped = materialize(merge.dedupe_paths(moved), "deduped")
         out, counts = deduped, {"moved": plan.count(), "deduped": moved.count() - deduped.count(), "dropped": 0, "kept_unreachable": 0}
         for r in plan.where("survives").toLocalIterator():
             source = self.folder / "thumbnails" / f"{r['old_id']}.webp"
             if source.exists():
                 os.replace(source, source.with_name(f"{r['new_id']}.webp"))
         if prune:
-            flagged = unreachable(deduped, self.roots())
+            flagged = materialize(unreachable(deduped, self.roots()), "flagged")
             kept, gone = merge.prune(flagged, archives.probe(deduped).where("hydrated is not null"))
+            kept = materialize(kept, "kept")
             counts["dropped"] = gone.count()
             counts["kept_unreachable"] = kept.where("unreachable").count()
             out = kept.drop("unreachable")
