@@ -2,8 +2,8 @@
 
 Two documents link when den * |A and B| >= num * |A or B|. Sets are distinct
 hashes of lower-cased (A-Z) word n-grams; equal sets form a class with one
-representative. Representatives that share a key meet at the smallest
-representative with that key (the pivot); each pivot's members, in pages of
+representative. Representatives that share a key and a band of sizes meet at the
+smallest representative with both (the pivot); each pivot's members, in pages of
 bounded weight, are joined by signature trees (see ``sigtree``), which decide
 every pair exactly. Linked representatives and classes give the components.
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,20 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int, frequent: np.nd
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the zstd-compressed text of each row that can be linked: texts
+    are what is shuffled most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(t.as_py().encode()) for t in part.column(1)], pa.binary())], names=["doc_id", "text"])
+
+    return docs.where("doc_id is not null and text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
 def _verified(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b) that connect what is linked inside each unit (pivot, p, q) of
     ``rows``, which also have rep, page and text."""
@@ -127,14 +142,15 @@ def _verified(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             rep = batch.column("rep").to_numpy()
             page, p, q = (batch.column(n).to_numpy() for n in ("page", "p", "q"))
             units = groups.bounds(batch, ["pivot", "p", "q"])
-            text = batch.column("text")
+            text, unpack = batch.column("text"), zstandard.ZstdDecompressor().decompress
             at = 0
             while at < len(units):  # as many units at a time as fit, one at least
                 end = at + 1
                 while end < len(units) and units[end][1] - units[at][0] <= 2 * PAGE_ROWS:
                     end += 1
                 base = units[at][0]
-                sets = [s for _, _, c in chunks(text.slice(base, units[end - 1][1] - base), lower=True) for s in c.shingle_sets(width)]
+                plain = pa.array([unpack(t.as_py()) for t in text.slice(base, units[end - 1][1] - base)], pa.large_binary()).cast(pa.large_string())
+                sets = [s for _, _, c in chunks(plain, lower=True) for s in c.shingle_sets(width)]
                 a, b = [], []
                 for first, last in units[at:end]:
                     if last - first < 2:
@@ -153,6 +169,16 @@ def _verified(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _uncontained(members: DataFrame) -> DataFrame:
+    """``members`` (pivot, rep, n) without the groups all of whose members also
+    meet at the smallest other pivot that their own pivot belongs to. That pivot
+    is smaller, so every dropped group lies in one that stays."""
+    home = members.where("rep <> pivot").groupBy(F.col("rep").alias("pivot")).agg(F.min("pivot").alias("home"))
+    there = members.select(F.col("pivot").alias("home"), "rep", F.lit(True).alias("met"))
+    inside = members.join(home, "pivot").join(there, ["home", "rep"], "left").groupBy("pivot").agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("all"))
+    return members.join(inside.where("all").select("pivot"), "pivot", "left_anti")
+
+
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles,
     component_id (smallest doc_id reachable over links)."""
@@ -164,13 +190,17 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     reps = materialize(filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
     classes = reps.select(*same, "rep")
 
-    keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
-    members = keyed.join(pivots, "key").select("pivot", "rep", "n").distinct()
-    members = materialize(members, "members")
+    # linked sizes lie within a factor of den / num, so in equal or neighbouring bands
+    band = F.floor(F.log("n") / (max(math.log(den / num), 1e-9) * (1 + 1e-9)))
+    banded = reps.select("rep", "n", "keys", F.explode(F.array(band, band + 1)).alias("band"))
+    keyed = banded.select("rep", "n", "band", F.explode("keys").alias("key"))
+    pivots = keyed.groupBy("key", "band").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "band", "pivot")
+    members = keyed.join(pivots, ["key", "band"]).select("pivot", "rep", "n").distinct()
+    members = _uncontained(materialize(members, "members"))
     dealt = groups.paged(members, "pivot", "rep", "n", PAGE_ROWS, PAGE_SHINGLES)
     units = dealt.select("pivot", "rep", "page", F.explode(groups.page_pairs()).alias("u")).select("pivot", "rep", "page", "u.p", "u.q")
-    texts = docs.join(units, docs["doc_id"] == units["rep"]).select("pivot", "p", "q", "page", "rep", "text")
+    packed = _packed(docs)
+    texts = packed.join(units, packed["doc_id"] == units["rep"]).select("pivot", "p", "q", "page", "rep", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt_out = texts.repartition(parts, "pivot", "p", "q").sortWithinPartitions("pivot", "p", "q")
     found = _verified(dealt_out, width, num, den)
