@@ -4,10 +4,11 @@ The standard-library parser's events give lines: the text of one block element
 with the number of tags in it. Lines inside elements that never hold article
 text (by tag, role, or words of class and id) are left out. The ratio of text to
 tags of each line is smoothed by a Gaussian and clustered in two by a threshold;
-regions that hold lines of the upper cluster are content. An ``article`` or
-``main`` element is one region, so its short lines stay; on a page without such
-elements every unbroken run of upper lines is a region, with headings right
-before it.
+regions that hold lines of the upper cluster are content. Being in an ``article``
+or ``main`` element is a prior that raises a line's level; such an element is one
+region, so its short lines stay. Elsewhere every unbroken run of upper lines is a
+region, with headings right before it. Lines of links in the lower cluster go
+wherever they are, but for a single ``p`` between lines of a content region.
 
 White space inside a block becomes one space; blocks follow page order, joined by
 two line feeds; nothing is shortened. Null and empty pages give an empty text.
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SIGMA, SLICE = 1.0, 1 << 16
+#: What being in an article or main element adds to a line's level, as a ratio four times as high would.
+PRIOR = float(np.log(4))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -180,18 +183,19 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, _, _, linked in lines], float)
-    level = _smoothed(np.log1p(ratio))
-    upper = level >= _cut(level)
     region = np.array([r for _, _, r, _, _ in lines])
-    if (region >= 0).any():
-        weight = {r: len("".join(lines[k][0] for k in np.flatnonzero(region == r))) for r in set(region[region >= 0].tolist())}
-        chosen = {r for r in weight if (upper & (region == r)).any()} or {max(weight, key=weight.get)}
-        keep = np.isin(region, list(chosen))
-    else:
-        keep = upper & (ratio > 0)
-        for k in range(len(lines) - 2, -1, -1):
-            if keep[k + 1] and not keep[k] and lines[k][3] in HEADING:
-                keep[k] = True
+    level = _smoothed(np.log1p(ratio)) + PRIOR * (region >= 0)
+    upper = level >= _cut(level)
+    linked = ratio == 0
+    seed = upper & ~linked
+    own = (region >= 0) & np.isin(region, region[seed])
+    keep = seed | own
+    for k in np.flatnonzero(own & linked & ~upper):
+        beside = [j for j in (k - 1, k + 1) if 0 <= j < len(lines) and region[j] == region[k] and not linked[j]]
+        keep[k] = lines[k][3] == "p" and len(beside) == 2
+    for k in range(len(lines) - 2, -1, -1):
+        if keep[k + 1] and not keep[k] and lines[k][3] in HEADING:
+            keep[k] = True
     return "\n\n".join(lines[k][0] for k in np.flatnonzero(keep))
 
 

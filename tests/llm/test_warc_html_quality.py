@@ -83,6 +83,19 @@ def test_page_shapes(spark):
     assert got == {1: 0, None: 14, 2: 499_999}
 
 
+def test_clusters_decide_on_pages_with_an_article():
+    long = "A sentence that belongs to the article and goes on for quite a while, as they do. " * 4
+    want = [long.strip()] * 4
+    paragraphs = f"<p>{long}</p>" * 2
+    links = "<ul>" + "".join(f"<li><a href=x{k}>Other story {k}</a></li>" for k in range(8)) + "</ul>"
+    one = "<p><a href=y>The source of it</a></p>"
+    assert htmltext.main_text(f"<article>{paragraphs}{links}{paragraphs}</article>") == "\n\n".join(want)
+    assert htmltext.main_text(f"<div>{links}</div>{paragraphs}<article>{paragraphs}</article>") == "\n\n".join(want)
+    assert htmltext.main_text(f"<article>{paragraphs}<div><a href=z>Buy shoes now</a></div>{paragraphs}</article>") == "\n\n".join(want)
+    assert htmltext.main_text(f"<article>{paragraphs}{one}{paragraphs}</article>") == "\n\n".join([*want[:2], "The source of it", *want[2:]])
+    assert htmltext.main_text(f"<article>{paragraphs}<p>Short.</p></article>") == "\n\n".join([*want[:2], "Short."])
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = sf(spark, "documents", "sf0.1"), sf(spark, "labels", "sf0.1")
     model = quality.learn(docs.withColumn("positive", F.lit("clash")), labels)
