@@ -4,11 +4,14 @@ The standard-library parser's events give lines: the text of one block element
 with the number of tags in it. Lines inside elements that never hold article
 text (by tag, role, or words of class and id) are left out. The ratio of text to
 tags of each line is smoothed by a Gaussian and clustered in two by a threshold;
-regions that hold lines of the upper cluster are content. Being in an ``article``
+regions with lines of the upper cluster are content. Being in an ``article``
 or ``main`` element is a prior that raises a line's level; such an element is one
-region, so its short lines stay. Elsewhere every unbroken run of upper lines is a
-region, with headings right before it. Lines of links in the lower cluster go
-wherever they are, but for a single ``p`` between lines of a content region.
+region, so its short lines stay. Elsewhere a region is what one ``div``,
+``section`` or the body holds: its paragraphs, lists and tables, and ``div``
+elements with text of their own. Where the clusters lie close together all lines
+are upper. Lines between content lines stay, and so do headings right before them.
+Lines of links in the lower cluster go wherever they are, but for a single ``p``
+between lines of a content region.
 
 White space inside a block becomes one space; blocks follow page order, joined by
 two line feeds; nothing is shortened. Null and empty pages give an empty text.
@@ -28,6 +31,8 @@ from pyspark.sql import types as T
 SIGMA, SLICE = 1.0, 1 << 16
 #: What being in an article or main element adds to a line's level, as a ratio four times as high would.
 PRIOR = float(np.log(4))
+#: Clusters are apart if their mean levels differ by this much.
+APART = 1.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -38,6 +43,8 @@ DROPPED = frozenset(
     "nav header footer aside form button select textarea option datalist dialog menu search fieldset".split()
 )
 REGION = frozenset(("article", "main"))
+#: Elements that hold regions of lines.
+HOLDS = frozenset("body center details div section".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id names whose elements are not the article.
@@ -58,10 +65,10 @@ class _Events(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, left out, region
-        self.lines: list[tuple[str, int, int, str, int]] = []  # text, tags, region, block tag, link characters
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, left out, region, number
+        self.lines: list[tuple[str, int, int, str, int, int]] = []  # text, tags, region, block tag, link characters, holder
         self.text: list[str] = []
-        self.tags = self.linked = self.regions = self.dropping = self.links = 0
+        self.tags = self.linked = self.regions = self.dropping = self.links = self.opened = 0
         self.region = -1
         self.block = "body"
 
@@ -69,16 +76,27 @@ class _Events(HTMLParser):
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, self.tags, self.region, self.block, self.linked))
+                self.lines.append((text, self.tags, self.region, self.block, self.linked, self._holder()))
             self.text = []
         self.tags = self.linked = 0
 
+    def _holder(self) -> int:
+        """The number of the element that holds the block of the text; 0 for the body."""
+        inner = True
+        for tag, _, _, number in reversed(self.stack):
+            if tag == "body":
+                break
+            if not inner and tag in HOLDS:
+                return number
+            inner = inner and tag not in BLOCK
+        return 0
+
     def _pop(self, at: int) -> None:
-        for tag, out, _ in self.stack[at:]:
+        for tag, out, _, _ in self.stack[at:]:
             self.dropping -= out
             self.links -= tag == "a"
         del self.stack[at:]
-        self.region = next((r for _, _, r in reversed(self.stack) if r >= 0), -1)
+        self.region = next((r for _, _, r, _ in reversed(self.stack) if r >= 0), -1)
 
     def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body"):
@@ -127,7 +145,8 @@ class _Events(HTMLParser):
             self.regions += 1
         self.dropping += out
         self.links += tag == "a"
-        self.stack.append((tag, out, region))
+        self.opened += 1
+        self.stack.append((tag, out, region, self.opened))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -182,15 +201,31 @@ def main_text(html: str | None) -> str:
     lines = events.lines
     if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, _, _, linked in lines], float)
-    region = np.array([r for _, _, r, _, _ in lines])
-    level = _smoothed(np.log1p(ratio)) + PRIOR * (region >= 0)
-    upper = level >= _cut(level)
+    ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, _, _, linked, _ in lines], float)
+    inside = np.array([r >= 0 for _, _, r, _, _, _ in lines])
+    region = np.array([-1 - r if r >= 0 else holder for _, _, r, _, _, holder in lines])
+    plain = np.log1p(ratio) + PRIOR * inside
+    level = _smoothed(np.log1p(ratio)) + PRIOR * inside
+    cut = _cut(level)
+    upper = level >= cut
     linked = ratio == 0
-    seed = upper & ~linked
-    own = (region >= 0) & np.isin(region, region[seed])
-    keep = seed | own
-    for k in np.flatnonzero(own & linked & ~upper):
+    low_links = linked & ~upper
+    if upper.all() or level[upper].mean() - level[~upper].mean() < APART:
+        upper[:] = True
+        cut = 0.0
+    # smoothing lifts lines beside another region: they alone don't make theirs content
+    seed = upper & ~linked & (plain >= cut)
+    if not seed.any():
+        seed = upper & ~linked
+    if not seed.any():
+        # a page of links: nothing is content but what an article holds
+        return "\n\n".join(lines[k][0] for k in np.flatnonzero(inside))
+    content = np.isin(region, region[seed])
+    place = np.flatnonzero(seed)
+    own = content.copy()
+    own[place[0] : place[-1] + 1] = True
+    keep = own & ~linked | content & inside & ~low_links
+    for k in np.flatnonzero(content & low_links):
         beside = [j for j in (k - 1, k + 1) if 0 <= j < len(lines) and region[j] == region[k] and not linked[j]]
         keep[k] = lines[k][3] == "p" and len(beside) == 2
     for k in range(len(lines) - 2, -1, -1):

@@ -96,6 +96,26 @@ def test_clusters_decide_on_pages_with_an_article():
     assert htmltext.main_text(f"<article>{paragraphs}<p>Short.</p></article>") == "\n\n".join([*want[:2], "Short."])
 
 
+def test_regions_without_an_article_stay_whole():
+    text = lambda n, k=0: (f"Paragraph {k} of {n}. " + "words of the text and " * n)[: n - 1] + "."
+    lengths = [(200, 600, 180, 550, 220, 90, 80, 500, 600), (500, 600, 30, 35, 25, 600, 550), (400, 30), (30, 400, 400, 400, 25), (*[30] * 40, 600, 600, *[30] * 40)]
+    for page in lengths:
+        want = [text(n, k) for k, n in enumerate(page)]
+        for block in ("p", "div"):
+            body = "".join(f"<{block}>{x}</{block}>" for x in want)
+            assert htmltext.main_text(f"<body><div>{body}</div></body>") == "\n\n".join(want), (page, block)
+            assert htmltext.main_text(f"<body>{body}</body>") == "\n\n".join(want), (page, block)
+    items = [text(25, k) for k in range(8)]
+    six = [text(400, k) for k in range(6)]
+    listed = "".join(f"<p>{x}</p>" for x in six) + "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    assert htmltext.main_text(f"<body><div>{listed}</div></body>") == "\n\n".join(six + items)
+    # what is apart, and links, still go
+    menu = "<div>" + "".join(f"<p>Menu item {k}</p>" for k in range(8)) + "</div>"
+    links = "<ul>" + "".join(f"<li><a href=x{k}>Other story {k}</a></li>" for k in range(8)) + "</ul>"
+    assert htmltext.main_text(f"<body>{menu}<div>{listed}{links}</div></body>") == "\n\n".join(six + items)
+    assert htmltext.main_text(f"<body>{links}</body>") == ""
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = sf(spark, "documents", "sf0.1"), sf(spark, "labels", "sf0.1")
     model = quality.learn(docs.withColumn("positive", F.lit("clash")), labels)
