@@ -2,8 +2,10 @@
 
 The standard-library parser's events give lines: the text of one block element
 with the number of tags in it. Lines inside elements that never hold article
-text (by tag, role, or words of class and id) are left out. The ratio of text to
-tags of each line is smoothed by a Gaussian and clustered in two by a threshold;
+text (by tag, role, or names of class and id) are left out. A name counts if all
+its words tell such a use or a place; an element left out by name alone stays if it
+holds the page's ``article`` or ``main``, or, without those, most of the text. The
+ratio of text to tags of each line is smoothed by a Gaussian and clustered in two by a threshold;
 regions with lines of the upper cluster are content. Being in an ``article``
 or ``main`` element is a prior that raises a line's level; such an element is one
 region, so its short lines stay. Elsewhere a region is what one ``div``,
@@ -54,6 +56,13 @@ NAMES = frozenset(
     "comment comments commentlist discussion disqus replies reply respond cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription signup login related recommended share sharing social pagination pager skip hidden".split()
 )
+#: Words that only place or shape what NAMES names: ``sidebar-left`` is a sidebar, ``content-sidebar-wrap`` and ``no-sidebar`` aren't.
+PLACES = frozenset(
+    "left right top bottom upper lower first last inner outer primary secondary main site page post entry article global mobile desktop "
+    "wrap wrapper container box area list section bar block item items link links button buttons form title text icon icons slot unit zone thread js".split()
+)
+#: An article or main element itself is left out by fewer words.
+OWN = frozenset("ad ads comment comments reply related promo sponsored widget".split())
 #: Elements that an element start closes: {start: what it ends}.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -67,6 +76,9 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int]] = []  # tag, left out, region, number
         self.lines: list[tuple[str, int, int, str, int, int]] = []  # text, tags, region, block tag, link characters, holder
+        self.named: list[int] = []  # numbers of the open elements that are left out by name
+        self.within: list[tuple[int, ...]] = []  # those around each line
+        self.around: list[tuple[int, ...]] = []  # and around each region
         self.text: list[str] = []
         self.tags = self.linked = self.regions = self.dropping = self.links = self.opened = 0
         self.region = -1
@@ -77,6 +89,7 @@ class _Events(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
                 self.lines.append((text, self.tags, self.region, self.block, self.linked, self._holder()))
+                self.within.append(tuple(self.named))
             self.text = []
         self.tags = self.linked = 0
 
@@ -92,8 +105,10 @@ class _Events(HTMLParser):
         return 0
 
     def _pop(self, at: int) -> None:
-        for tag, out, _, _ in self.stack[at:]:
+        for tag, out, _, number in self.stack[at:]:
             self.dropping -= out
+            while self.named and self.named[-1] >= number:
+                self.named.pop()
             self.links -= tag == "a"
         del self.stack[at:]
         self.region = next((r for _, _, r, _ in reversed(self.stack) if r >= 0), -1)
@@ -118,8 +133,18 @@ class _Events(HTMLParser):
             elif name == "style":
                 if "display:none" in value.replace(" ", "").lower():
                     return True
-            elif name in ("class", "id") and any(w.lower() in NAMES for w in _WORDS.findall(value)):
-                return tag not in REGION or not {"ad", "ads", "comment", "comments", "reply", "related", "promo", "sponsored", "widget"}.isdisjoint(w.lower() for w in _WORDS.findall(value))
+        return False
+
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("html", "body") or tag == "header" and self.region >= 0:
+            return False
+        for name, value in attrs:
+            if name in ("class", "id") and value:
+                for token in value.split():
+                    words = {w.lower() for w in _WORDS.findall(token)}
+                    found = words & NAMES
+                    if found and all(w in NAMES or w in PLACES or w.isdigit() for w in words) and (tag not in REGION or found & OWN):
+                        return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -139,13 +164,17 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         out = self._left_out(tag, attrs)
+        named = not out and not self.dropping and self._named(tag, attrs)
         region = -1
-        if tag in REGION and not out and not self.dropping and self.region < 0:
+        if tag in REGION and not named and not out and not self.dropping and self.region < 0:
             region = self.region = self.regions
             self.regions += 1
+            self.around.append(tuple(self.named))
         self.dropping += out
         self.links += tag == "a"
         self.opened += 1
+        if named:
+            self.named.append(self.opened)
         self.stack.append((tag, out, region, self.opened))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -198,7 +227,7 @@ def main_text(html: str | None) -> str:
         events.feed(html[at : at + SLICE])
     events.close()
     events.flush()
-    lines = events.lines
+    lines = _unnamed(events)
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, _, _, linked, _ in lines], float)
@@ -234,6 +263,25 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(lines[k][0] for k in np.flatnonzero(keep))
 
 
+def _unnamed(events: _Events) -> list[tuple[str, int, int, str, int, int]]:
+    """The lines that aren't left out by name."""
+    size = [0] * events.regions
+    total, inside = 0, {}
+    for line, within in zip(events.lines, events.within):
+        total += len(line[0])
+        if line[2] >= 0 and within == events.around[line[2]]:
+            size[line[2]] += len(line[0])
+        for number in within:
+            inside[number] = inside.get(number, 0) + len(line[0])
+    free = any(n and not around for n, around in zip(size, events.around))
+    stay: set[int] = set()
+    if not free and any(size):
+        stay.update(events.around[size.index(max(size))])
+    elif not free:
+        stay.update(k for k, n in inside.items() if 2 * n > total)
+    return [line for line, within in zip(events.lines, events.within) if stay.issuperset(within)]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row."""
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

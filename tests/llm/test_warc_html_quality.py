@@ -116,6 +116,20 @@ def test_regions_without_an_article_stay_whole():
     assert htmltext.main_text(f"<body>{links}</body>") == ""
 
 
+def test_names_leave_layout_wrappers_and_most_text():
+    long = "A sentence that belongs to the article and goes on for quite a while, as they do. " * 3
+    aside = f"<div class='sidebar-left'>{long}</div><div id=comments><article>{long}</article></div>"
+    for name in ("content-sidebar-wrap", "site has-sidebar", "no-sidebar", "share-price-report", "sidebar", "hidden", "skip widget", "site-header"):
+        for tag in ("main", "article"):
+            assert htmltext.main_text(f"<body><div class='{name}'><{tag}><p>{long}<p>{long}</{tag}></div></body>") == "\n\n".join([long.strip()] * 2), name
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar"):
+        page = f"<body><div class='{name}'><main><p>{long}</main>{aside}</div></body>"
+        assert htmltext.main_text(page) == long.strip(), name
+    assert htmltext.main_text(f"<body><p>{long}<section class=share><div class=widget><b>{long}</section><p>{long}") == "\n\n".join([long.strip()] * 2)
+    assert htmltext.main_text(f"<div class=banner><p>{long}<p>{long}</div><p>{long}") == "\n\n".join([long.strip()] * 3)
+    assert htmltext.main_text(f"<main><p>{long}</main><div class='related'><article>{long * 3}</article></div>") == long.strip()
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = sf(spark, "documents", "sf0.1"), sf(spark, "labels", "sf0.1")
     model = quality.learn(docs.withColumn("positive", F.lit("clash")), labels)
