@@ -5,7 +5,8 @@ stay. Further candidates, runs of 16 or more token characters with a letter and
 a digit that touch no base finding, are read with their surroundings by a small
 convolutional network in numpy: one-hot characters with a mark for the
 candidate, width-5 filters, maxima inside and outside the candidate, one
-logistic output. It is trained here on labelled findings; Platt scaling on a
+logistic output. A candidate longer than INSIDE is read whole, in overlapping
+windows of INSIDE characters; the highest score counts. It is trained here on labelled findings; Platt scaling on a
 held-out part calibrates it, and the threshold is the largest that keeps the
 wanted recall there. Accepted candidates are findings of kind ``net``.
 
@@ -18,8 +19,9 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-AROUND, INSIDE = 20, 48
+AROUND, INSIDE, STEP = 20, 48, 24
 WIDTH, FILTERS = 5, 24
 RECALL = 0.98
 _ALPHABET = 98  # space to tilde, white space, non-ASCII, and padding
@@ -66,15 +68,21 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _windows(items: Iterable[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int]]:
+    """(item, text, start, end) of windows over each whole candidate."""
+    for k, (text, a, b) in enumerate(items):
+        for at in range(a, max(a, b - INSIDE), STEP):
+            yield k, text, at, at + INSIDE
+        yield k, text, max(a, b - INSIDE), b
+
+
 def _encode(items: list[tuple[str, int, int]]) -> np.ndarray:
     """Character codes and candidate marks: (n, length, 2)."""
     size = 2 * AROUND + INSIDE
     out = np.zeros((len(items), size, 2), np.int16)
     out[:, :, 0] = _ALPHABET - 1
     for k, (text, a, b) in enumerate(items):
-        # the ends of a longer candidate stand for it
-        own = text[a:b] if b - a <= INSIDE else text[a : a + INSIDE // 2] + text[b - INSIDE // 2 : b]
-        left, right = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        own, left, right = text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]
         for at, part, mark in ((AROUND - len(left), left, 0), (AROUND, own, 1), (AROUND + INSIDE, right, 0)):
             codes = [ord(c) - 32 if " " <= c <= "~" else 95 if c.isspace() else 96 for c in part]
             out[k, at : at + len(codes), 0] = codes
@@ -108,16 +116,33 @@ class Network:
         top = np.concatenate([np.maximum(np.take_along_axis(h, k[:, None], 1)[:, 0], 0) for k in peaks], 1)
         return windows, h, peaks, top, top @ p["out"] + p["shift"][0]
 
+    def _highest(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+        """The highest output over the windows of each candidate, in bounded batches."""
+        out = np.full(len(items), -np.inf)
+        windows = _windows(items)
+        while part := list(islice(windows, 256)):
+            np.maximum.at(out, [w[0] for w in part], self._forward(_encode([w[1:] for w in part]))[-1])
+        return out
+
     def score(self, items: list[tuple[str, int, int]]) -> np.ndarray:
         """Calibrated probabilities, in bounded batches."""
-        out = [np.empty(0)]
-        for k in range(0, len(items), 256):
-            z = self._forward(_encode(items[k : k + 256]))[-1]
-            out.append(1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -50, 50))))
-        return np.concatenate(out)
+        return 1 / (1 + np.exp(-np.clip(self.scale * self._highest(items) + self.offset, -50, 50)))
+
+    def _leading(self, x: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The window of each candidate that decides its score."""
+        best = start.copy()
+        many = np.flatnonzero(count > 1)
+        if len(many):
+            z = self._forward(x[np.concatenate([np.arange(start[i], start[i] + count[i]) for i in many])])[-1]
+            for i, own in zip(many, np.split(z, np.cumsum(count[many])[:-1])):
+                best[i] += own.argmax()
+        return best
 
     def fit(self, items: list[tuple[str, int, int]], y: np.ndarray, epochs: int = 5, batch: int = 96, rate: float = 4e-3) -> None:
-        x = _encode(items)
+        parts = list(_windows(items))
+        x = _encode([w[1:] for w in parts])
+        count = np.bincount([w[0] for w in parts], minlength=len(items))
+        start = np.cumsum(count) - count
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         turn = 0
@@ -125,8 +150,9 @@ class Network:
             order = self.rng.permutation(len(y))
             for k in range(0, len(y), batch):
                 own = order[k : k + batch]
+                label, own = y[own], self._leading(x, start[own], count[own])
                 windows, h, peaks, top, z = self._forward(x[own])
-                miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[own]) / len(own)
+                miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) / len(own)
                 g = {"out": top.T @ miss, "shift": np.array([miss.sum()])}
                 dtop = miss[:, None] * self.p["out"]
                 dh = np.zeros_like(h)
@@ -153,7 +179,7 @@ class Network:
 
     def calibrate(self, items: list[tuple[str, int, int]], y: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling, then the largest threshold of at least ``recall``."""
-        z = np.concatenate([self._forward(_encode(items[k : k + 256]))[-1] for k in range(0, len(items), 256)])
+        z = self._highest(items)
         a, b = 1.0, 0.0
         hits = y.sum()
         soft = np.where(y > 0, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))
@@ -171,7 +197,8 @@ class Network:
 
 def labelled_findings(count: int = 2400, seed: int = 11) -> list[Finding]:
     """Labelled findings made from a seed: keys in the shapes and surroundings
-    in which they leak, and harmless runs of the same characters."""
+    in which they leak, also amid long harmless runs, and harmless runs of the
+    same characters."""
     rng = random.Random(seed)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -211,10 +238,17 @@ def labelled_findings(count: int = 2400, seed: int = 11) -> list[Finding]:
             return plain() + plain() + plain() + plain() + str(rng.randrange(1000)) + plain()
         return plain() + str(rng.randrange(100)) + "." + plain() + "." + plain() + str(rng.randrange(10)) + "..." + plain()
 
+    def piece() -> str:
+        return rng.choice([plain() + plain(), plain() + str(rng.randrange(100)), plain() + "_" + plain(), plain() + "-" + plain(), str(rng.randrange(2030))])
+
     out = []
     while len(out) < count:
         is_secret = rng.random() < 0.5
         run = secret() if is_secret else harmless()
+        if rng.random() < 0.2:
+            ends = [piece() for _ in range(rng.randint(2, 4))], [piece() for _ in range(rng.randint(1, 3))]
+            middle = draw(upper + lower + digits, rng.randint(24, 48)) if is_secret else piece()
+            run = rng.choice("/._-=").join([*ends[0], middle, *ends[1], plain() + rng.choice([".html", ".txt", ".py", ".mp4", "_id"])])
         before = " ".join(word() for _ in range(3)) + rng.choice([" ", "\n", ", "])
         if is_secret:
             before += rng.choice(["key: ", "auth=", "Bearer ", "pwd=", "credentials ", "private ", "", "", 'value="', "export K="])

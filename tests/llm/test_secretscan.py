@@ -52,3 +52,22 @@ def test_network_finds_other_keys_and_leaves_the_harmless():
     y = np.array([f.secret for f in fresh])
     assert p[y].mean() > 0.95
     assert (~p[~y]).mean() > 0.9
+
+
+def test_keys_in_the_middle_of_long_runs_are_read():
+    net = s.train(s.labelled_findings())
+    rng = np.random.default_rng(5)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    starts = ["archive/2019/reports/monthly/summary/", "project.module.submodule.handlers.", "settings_default_environment_value="]
+    ends = ["/attachments/overview/document.html", ".configuration.defaults.values.txt", "/images/gallery/holiday/picture.mp4"]
+    items, harmless = [], []
+    for k in range(90):
+        start, end = starts[k % 3], ends[k // 3 % 3]
+        for middle, out in (("".join(rng.choice(chars, 40)), items), ("tables/autumn/station7/garden/notes/river", harmless)):
+            run = start + middle + end
+            out.append((f"see {run} for more", 4, 4 + len(run)))
+    assert (net.score(items) >= net.threshold).mean() > 0.9
+    assert (net.score(harmless) >= net.threshold).mean() < 0.2
+    # every character of a long candidate is read
+    run = "a1/" * 5000
+    assert {i for _, _, a, b in s._windows([(run, 0, len(run))]) for i in range(a, b)} == set(range(len(run)))
