@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import GENERIC, HAYSTACK_CAP
+from ..schema import GENERIC, HAYSTACK_CAP, IGNORED_DIRS, IGNORED_PREFIXES
 from .scalars import backslashed, last, segments, stem, ws_trim
 
 Pairs = list[tuple[str, str]]
@@ -32,6 +32,9 @@ class Rules:
     default_category: str = "Uncategorised"
     match_filenames: bool = True
     generic: tuple[str, ...] = GENERIC
+    ignored_dirs: tuple[str, ...] = IGNORED_DIRS
+    ignored_prefixes: tuple[str, ...] = IGNORED_PREFIXES
+    style: dict = field(default_factory=dict)
 
 
 def load_rules(spark: SparkSession, shipped: str | None, local: str | None = None) -> Rules:
@@ -52,11 +55,18 @@ def load_rules(spark: SparkSession, shipped: str | None, local: str | None = Non
         found = [(k, v) for k, v in part.items() if not k.startswith("_") and isinstance(v, str)] if isinstance(part, dict) else []
         return [(k, v) for k, v in found if valid(spark, v)]
 
+    def names(key: str, default: tuple[str, ...], clean=lambda x: x) -> tuple[str, ...]:
+        """A list takes the place of the default, an empty one too; anything else doesn't."""
+        part = merged.get(key)
+        return tuple(clean(x) for x in part if isinstance(x, str)) if isinstance(part, list) else default
+
+    style = merged.get("thumbnail_style")
     war = merged.get("wargaming_keywords") or ""
     generic = tuple(g.strip().lower() for g in merged.get("generic_folder_names") or [] if isinstance(g, str))
     return Rules(
         pairs("categories"), pairs("factions"), pairs("types"), pairs("sources"), war if war and valid(spark, war) else "",
         merged.get("wargaming_category", "Wargaming"), merged.get("default_category", "Uncategorised"), bool(merged.get("match_filenames", True)), generic or GENERIC,
+        names("ignore_folders", IGNORED_DIRS, lambda x: x.strip().lower()), names("ignore_file_prefixes", IGNORED_PREFIXES), style if isinstance(style, dict) else {},
     )
 
 

@@ -97,6 +97,47 @@ def duration(seconds: Column | str) -> Column:
     )
 
 
+def thousands(number: Column | str) -> Column:
+    """1234567 as 1,234,567."""
+    return F.format_number(_c(number).cast("long"), 0)
+
+
+def whole_megabytes(size: Column | str) -> Column:
+    """Bytes as a whole number of MB with separators, half up."""
+    return thousands(F.floor((F.coalesce(_c(size).cast("long"), F.lit(0)) + 500_000) / 1_000_000))
+
+
+def gigabytes(size: Column | str) -> Column:
+    """Bytes as GB with two digits, half up in integers."""
+    cents = F.floor((F.coalesce(_c(size).cast("long"), F.lit(0)) + 5_000_000) / 10_000_000).cast("long")
+    return F.concat(thousands(F.floor(cents / 100)), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def stamped(prefix: str, at: Column | str, suffix: str = "") -> Column:
+    """A name that holds a time, and sorts by it."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(_c(at), "yyyyMMdd_HHmmss"), F.lit(suffix))
+
+
+def hex_colour(text: Column | str, fallback: str) -> Column:
+    """#rgb or #rrggbb as it is, anything else as ``fallback``."""
+    clean = ws_trim(_c(text))
+    return F.when(clean.rlike("^#(?:[0-9a-fA-F]{3}|[0-9a-fA-F]{6})$"), clean).otherwise(F.lit(fallback))
+
+
+def rgb(colour: Column | str) -> Column:
+    """Red, green and blue of a hex colour, from 0 to 1."""
+    digits = F.regexp_replace(_c(colour), "^#", "")
+    wide = F.when(F.length(digits) == 3, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+    return F.transform(F.sequence(F.lit(1), F.lit(5), F.lit(2)), lambda k: F.conv(F.substring(wide, k, F.lit(2)), 16, 10).cast("long") / F.lit(255.0))
+
+
+def html_escaped(text: Column | str) -> Column:
+    out = _c(text)
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(plain), F.lit(safe))
+    return out
+
+
 def file_uri(path: Column | str) -> Column:
     """file:/// and the path, percent-encoded but for / and :."""
     out = F.url_encode(F.translate(_c(path), "\\", "/"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fingerprint, loose_fingerprint
+from .numbering import numbered
 
 
 def fingerprinted(items: DataFrame) -> DataFrame:
@@ -37,17 +38,23 @@ def near_groups(prints: DataFrame, exact: DataFrame | None = None) -> DataFrame:
 
 def ranked(groups: DataFrame, label: str) -> DataFrame:
     """``groups`` with ``grp``: label-1, label-2 ... by waste, then first seen."""
-    place = F.row_number().over(Window.orderBy(F.desc("waste"), "first_ord"))
-    return groups.withColumn("grp", F.concat(F.lit(f"{label}-"), place.cast("string")))
+    placed = numbered(groups, [F.desc("waste"), F.col("first_ord")])
+    return placed.withColumn("grp", F.concat(F.lit(f"{label}-"), F.col("place").cast("string")))
 
 
 def members(prints: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """The items of each group, numbered by path."""
-    rows = prints.join(groups.select(key, "grp", "copies"), key)
+    rows = prints.join(groups.select(key, "grp", "copies"), key).drop("place")
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.lower("path"), "ord"))
     return rows.withColumn("place", place)
 
 
+def reported(groups: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` of ``ranked`` groups, and how many more there are."""
+    shown = groups.where(F.col("place") <= most)
+    return shown.crossJoin(groups.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more")))  # one row
+
+
 def totals(exact: DataFrame, near: DataFrame) -> DataFrame:
     """groups, extra copies and waste of both kinds in one row."""
     count = lambda df, p: df.agg(F.count("*").alias(f"{p}_groups"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias(f"{p}_extra"), F.coalesce(F.sum("waste"), F.lit(0)).alias(f"{p}_waste"))

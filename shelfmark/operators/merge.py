@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_path, stable_id
 from ..schema import OK_STATUS
+from .numbering import numbered
 
 
 def last_write_wins(rows: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
@@ -86,11 +87,11 @@ def mark_rendered(items: DataFrame, thumbnails: DataFrame) -> DataFrame:
 
 
 def to_render(items: DataFrame, thumbnails: DataFrame, force: bool = False) -> DataFrame:
-    """Renderable items without a picture yet, smallest first."""
+    """Renderable items without a picture yet, with their place: smallest first."""
     rows = items.where(F.col("type").isin("project", "archive"))
     if not force:
         rows = rows.join(thumbnails.select("id").distinct(), "id", "left_anti")
-    return rows.orderBy(F.coalesce("size_bytes", F.lit(0)), "ord")
+    return numbered(rows, [F.coalesce("size_bytes", F.lit(0)), F.col("ord")])
 
 
 def prune(items: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:

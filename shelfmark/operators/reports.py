@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import Rules, classified, item_tags, source_label
 from ..schema import OK_STATUS
+from .numbering import numbered
 from .sources import longest_root
 
 
@@ -109,17 +110,14 @@ def stride_sample(items: DataFrame, n: int, order: list[Column | str], total: in
     total = items.count() if total is None else total
     step = max(1, total // max(n, 1))
     last = step * (n - 1) + 1
-    place = F.row_number().over(Window.orderBy(*order))
-    # nothing beyond the last place that is taken needs a number
-    return items.orderBy(*order).limit(last).withColumn("place", place).where((F.col("place") - 1) % step == 0)
+    return numbered(items, order).where(((F.col("place") - 1) % step == 0) & (F.col("place") <= last))
 
 
 def quantile_sample(items: DataFrame, n: int, order: list[Column | str], total: int | None = None) -> DataFrame:
     """Items at round(i * (N - 1) / (n - 1)), ties to even."""
     total = items.count() if total is None else total
     at = sorted({round(i * (total - 1) / (n - 1)) for i in range(n)}) if n > 1 and total > n else list(range(min(n, total)))
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("place", place).where(F.col("place").isin(*at))
+    return numbered(items, order, first=0).where(F.col("place").isin(*at))
 
 
 def running_fit(items: DataFrame, order: str, size: str, elapsed: str) -> DataFrame:
@@ -151,3 +149,28 @@ def smoothed(fit: DataFrame, order: str, weight: float = 0.25) -> DataFrame:
     rows = fit.where("fresh is not null").groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("fresh").alias("f"), (F.col("n") >= F.col("n_all")).alias("end")))).alias("x"))
     step = lambda a, x: F.when(x["end"], 0.0).when(a.isNull(), x["f"]).otherwise((1 - weight) * a + weight * x["f"])
     return rows.select("run", F.aggregate("x", F.lit(None).cast("double"), step).alias("eta"))
+
+
+def repeated_pictures(pictures: DataFrame, limit: int = 3) -> DataFrame:
+    """``pictures`` (id, digest, ord) with ``accepted``: a picture that comes for
+    the ``limit``-th time is an icon. One without digest is accepted. Ranks are
+    cut before the shuffle, so a picture that all items share is no burden."""
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy("ord", "id"))
+    first = pictures.where("digest is not null").select("id", "digest", "ord").withColumn("_k", rank).where(F.col("_k") < limit)
+    first = first.select(F.col("id").alias("_id"), F.col("ord").alias("_ord"))
+    joined = pictures.join(first, (pictures["id"] == first["_id"]) & (pictures["ord"] == first["_ord"]), "left")
+    return joined.withColumn("accepted", F.col("digest").isNull() | F.col("_id").isNotNull()).drop("_id", "_ord")
+
+
+def laid_out(parts: DataFrame, limit: float, key: str = "id") -> DataFrame:
+    """Of each kit's ``parts`` (key, part, low and high corner as x0..z1): n,
+    spread (the diagonal of all parts over the longest of one) and whether the
+    parts lie apart rather than together: three or more, spread over ``limit``."""
+    axes = ("x", "y", "z")
+    length = lambda low, high: F.sqrt(sum((F.col(f"{high}{a}") - F.col(f"{low}{a}")) * (F.col(f"{high}{a}") - F.col(f"{low}{a}")) for a in axes))
+    own = parts.select(key, "part", *[F.col(f"{a}{k}").alias(f"{'lh'[k]}{a}") for a in axes for k in (0, 1)])
+    own = own.withColumn("_d", length("l", "h"))
+    ends = [f(f"{side}{a}").alias(f"{side}{a}") for side, f in (("l", F.min), ("h", F.max)) for a in axes]
+    out = own.groupBy(key).agg(F.count("*").alias("n"), F.max("_d").alias("_most"), F.min(F.struct((-F.col("_d")).alias("k"), "part"))["part"].alias("largest"), *ends)
+    spread = length("l", "h") / F.greatest("_most", F.lit(1e-9))
+    return out.withColumn("spread", spread).withColumn("apart", (F.col("n") >= 3) & (F.col("spread") > limit)).select(key, "n", "spread", "apart", "largest")

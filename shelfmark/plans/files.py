@@ -40,6 +40,20 @@ def save_sources(path: Path, roots: Iterable[str]) -> list[str]:
     return list(out.values())
 
 
+def save_local_rules(path: Path, changes: dict) -> Path:
+    """Lay ``changes`` over the local rules file, key by key and within objects;
+    the rest of it stays. One that isn't a JSON object raises ValueError."""
+    path = Path(path)
+    held = json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+    if not isinstance(held, dict):
+        raise ValueError(f"{path} holds no object")
+    for key, value in changes.items():
+        inner = held.get(key)
+        held[key] = {**inner, **value} if isinstance(inner, dict) and isinstance(value, dict) else value
+    atomic_write(path, [json.dumps(held, indent=2), "\n"])
+    return path
+
+
 def load_sources(path: Path) -> list[str]:
     if not Path(path).exists():
         return []

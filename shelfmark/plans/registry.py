@@ -7,7 +7,6 @@ nation prefixes are scan roots.
 
 from __future__ import annotations
 
-import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -19,7 +18,8 @@ from ..functions import classify as c
 from ..functions import scalars as s
 from ..functions.display import display_fields
 from ..operators import duplicates as dup
-from ..operators import hydration, merge, relocate, reports, sources
+from ..operators import hydration, merge, relocate, reports, rollup, sources
+from ..storage import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,18 +50,21 @@ def query(sql: str | None = None):
 
 
 # kits ----------------------------------------------------------------------
-def kits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ord, path, size_bytes, model_files, part_count, primary of each order."""
+def kit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dir, name, size of the files of each order, as a listing gives them."""
     files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("size"))
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("name"))
-    return files.join(names, "l_partkey").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.sum("size").alias("size_bytes"), F.array_sort(F.collect_list("name")).alias("model_files"), F.count("*").alias("part_count"),
-        F.min(F.struct((-F.col("size")).alias("k"), F.col("name").alias("n")))["n"].alias("primary"),
-    ).withColumns({"ord": F.col("id"), "path": F.concat(F.lit("order-"), F.col("id").cast("string"))})
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower(F.concat("p_name", F.lit(".stl"))).alias("name"))
+    return files.join(names, "l_partkey").select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("dir"), "name", "size")
+
+
+def kits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ord, path, size_bytes, model_files, part_count, primary_file of each order."""
+    key = F.substring("path", 7, 20).cast("long")
+    return rollup.projects(kit_files(spark, sf_dir)).withColumns({"id": key, "ord": key, "part_count": F.col("part_count").cast("long")})
 
 
-_KITS = """k AS (SELECT l_orderkey AS id, sum(CAST(l_quantity AS BIGINT))::BIGINT AS size_bytes, list_sort(list(lower(p_name))) AS files, count(*) AS n,
- min(struct_pack(k := -CAST(l_quantity AS BIGINT), n := lower(p_name))).n AS prim, 'order-' || l_orderkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
+_KITS = """k AS (SELECT l_orderkey AS id, sum(CAST(l_quantity AS BIGINT))::BIGINT AS size_bytes, list_sort(list(lower(p_name) || '.stl')) AS files, count(*) AS n,
+ min(struct_pack(k := -CAST(l_quantity AS BIGINT), n := lower(p_name) || '.stl')).n AS prim, 'order-' || l_orderkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
 _PRINTS = _KITS + """, f AS (SELECT *, substr(md5(array_to_string(files, '|') || '::' || n || '::' || size_bytes), 1, 16) AS fp, substr(md5(array_to_string(files, '|') || '::' || n), 1, 16) AS loose FROM k)"""
 _EXACT = _PRINTS + """, x AS (SELECT fp, count(*) AS copies, (sum(size_bytes) - arg_min(size_bytes, path))::BIGINT AS waste, min(id) AS first_ord FROM f GROUP BY fp HAVING count(*) >= 2)"""
 _NEAR = _EXACT + """, l AS (SELECT loose, count(*) AS copies, (sum(size_bytes) - arg_min(size_bytes, path))::BIGINT AS waste, min(id) AS first_ord, bool_and(fp IN (SELECT fp FROM x)) AS covered
@@ -70,7 +73,18 @@ _NEAR = _EXACT + """, l AS (SELECT loose, count(*) AS copies, (sum(size_bytes) -
 
 @query(f"WITH {_KITS} SELECT id, n AS part_count, size_bytes, array_to_string(files, '|') AS files, prim AS primary_file FROM k")
 def kit_rollup(spark, sf_dir):
-    return kits(spark, sf_dir).select("id", "part_count", "size_bytes", F.array_join("model_files", "|").alias("files"), F.col("primary").alias("primary_file"))
+    return kits(spark, sf_dir).select("id", "part_count", "size_bytes", F.array_join("model_files", "|").alias("files"), "primary_file")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS id, CAST(l_quantity AS BIGINT) AS size, lower(p_name) || CASE WHEN l_linenumber % 3 = 0 THEN '_render' ELSE '' END || CASE WHEN l_linenumber % 2 = 0 THEN '.png' ELSE '.stl' END AS name, l_linenumber % 2 = 0 AS image
+ FROM lineitem JOIN part ON l_partkey = p_partkey)
+ SELECT id, count(*) FILTER (WHERE NOT image) AS part_count, arg_min(name, struct_pack(h := NOT contains(name, '_render'), s := -size, n := name)) FILTER (WHERE image) AS preview FROM f GROUP BY id HAVING count(*) FILTER (WHERE NOT image) > 0""")
+def preview_choice(spark, sf_dir):
+    files = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = F.col("l_linenumber")
+    name = F.concat(F.lower("p_name"), F.when(n % 3 == 0, "_render").otherwise(""), F.when(n % 2 == 0, ".png").otherwise(".stl"))
+    out = rollup.projects(files.select(F.col("l_orderkey").cast("string").alias("dir"), name.alias("name"), F.col("l_quantity").cast("long").alias("size")))
+    return out.select(F.col("path").cast("long").alias("id"), F.col("part_count").cast("long").alias("part_count"), F.element_at(F.split("preview_file", "/"), -1).alias("preview"))
 
 
 @query(f"WITH {_PRINTS} SELECT id, fp, loose FROM f")
@@ -103,10 +117,16 @@ def duplicate_totals(spark, sf_dir):
     return dup.totals(exact, dup.near_groups(prints, exact))
 
 
-@query("SELECT md5(text) AS digest, count(*) AS copies, (sum(n_chars) - arg_min(n_chars, doc_id))::BIGINT AS waste FROM documents GROUP BY 1 HAVING count(*) >= 2")
+@query("""WITH d AS (SELECT doc_id, n_chars, substr(md5(md5(coalesce(text, '')) || '::1::' || n_chars), 1, 16) AS fp FROM documents)
+ SELECT fp, count(*) AS copies, (sum(n_chars) - arg_min(n_chars, doc_id))::BIGINT AS waste FROM d GROUP BY fp HAVING count(*) >= 2""")
 def doc_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.md5("text").alias("digest"))
-    return docs.groupBy("digest").agg(F.count("*").alias("copies"), (F.sum("n_chars") - F.min_by("n_chars", "doc_id")).alias("waste")).where("copies >= 2")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("n_chars").alias("size_bytes"), F.array(F.md5(F.coalesce("text", F.lit("")))).alias("model_files"))
+    return dup.exact_groups(dup.fingerprinted(docs)).select("fp", "copies", "waste")
+
+
+@query(f"WITH {_EXACT}, r AS (SELECT *, row_number() OVER (ORDER BY waste DESC, first_ord) AS place FROM x) SELECT place, copies, waste, greatest((SELECT count(*) FROM x) - 20, 0) AS more FROM r WHERE place <= 20")
+def duplicates_reported(spark, sf_dir):
+    return dup.reported(dup.ranked(dup.exact_groups(dup.fingerprinted(kits(spark, sf_dir))), "exact"), 20).select("place", "copies", "waste", "more")
 
 
 # scalars -------------------------------------------------------------------
@@ -128,10 +148,49 @@ def size_mb(spark, sf_dir):
     return b.select("l_orderkey", s.megabytes("b", 1).alias("mb1"), s.megabytes("b", 2).alias("mb2"), s.duration(F.floor(F.col("b") / 1000)).alias("took"))
 
 
+@query("""WITH t AS (SELECT l_orderkey, sum(CAST(l_extendedprice * 100000 AS BIGINT))::BIGINT AS b FROM lineitem GROUP BY 1), g AS (SELECT *, (b + 5000000) // 10000000 AS c FROM t)
+ SELECT l_orderkey, format('{:,}', b) AS grouped, format('{:,}', (b + 500000) // 1000000) AS mb, format('{:,}', c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') AS gb FROM g""")
+def sizes_shown(spark, sf_dir):
+    b = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum((F.col("l_extendedprice") * 100000).cast("decimal(20,0)").cast("long")).alias("b"))
+    return b.select("l_orderkey", s.thousands("b").alias("grouped"), s.whole_megabytes("b").alias("mb"), s.gigabytes("b").alias("gb"))
+
+
+@query("SELECT event_id, 'catalog_' || strftime(ts, '%Y%m%d_%H%M%S') || '.json' AS name FROM events")
+def stamped_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", s.stamped("catalog", F.col("ts"), ".json").alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/' || p_name || '.tar' WHEN 2 THEN '..' || p_name ELSE p_name END AS stem, CASE p_partkey % 4 WHEN 0 THEN 'stl' WHEN 2 THEN 'obj' ELSE '' END AS ext,
+ CASE p_partkey % 4 WHEN 0 THEN p_name || '.tar.STL' WHEN 1 THEN p_name WHEN 2 THEN '..' || p_name || '.obj' ELSE p_name || '.' END AS base FROM part""")
+def name_parts(spark, sf_dir):
+    n = F.col("p_name")
+    made = F.element_at(F.array(F.concat(F.lit("a/"), n, F.lit(".tar.STL")), n, F.concat(F.lit(".."), n, F.lit(".obj")), F.concat(n, F.lit("."))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", made.alias("f")).select("p_partkey", s.stem("f").alias("stem"), s.extension("f").alias("ext"), s.last(s.segments("f")).alias("base"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped, replace(html, '</', '<' || chr(92) || '/') AS scripted, to_base64(encode(url)) AS coded FROM pages""")
+def escapes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", s.html_escaped("html").alias("escaped"), s.script_safe("html").alias("scripted"), F.regexp_replace(F.base64(F.encode("url", "UTF-8")), r"\s", "").alias("coded"))
+
+
+@query("""WITH t AS (SELECT p_partkey, ' #' || substr(md5(p_name), 1, CASE WHEN p_partkey % 3 = 0 THEN 3 WHEN p_partkey % 3 = 1 THEN 6 ELSE 5 END) || ' ' AS raw FROM part),
+ c AS (SELECT p_partkey, CASE WHEN length(trim(raw)) IN (4, 7) THEN trim(raw) ELSE '#20242c' END AS colour FROM t),
+ w AS (SELECT *, CASE WHEN length(colour) = 4 THEN colour[2] || colour[2] || colour[3] || colour[3] || colour[4] || colour[4] ELSE substr(colour, 2) END AS h FROM c)
+ SELECT p_partkey, colour, round(('0x' || substr(h, 1, 2))::INT / 255.0, 6) AS red, round(('0x' || substr(h, 5, 2))::INT / 255.0, 6) AS blue FROM w""")
+def hex_colours(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    raw = F.concat(F.lit(" #"), F.substring(F.md5("p_name"), F.lit(1), F.when(k == 0, 3).when(k == 1, 6).otherwise(5)), F.lit(" "))
+    out = table(spark, sf_dir, "part").select("p_partkey", s.hex_colour(raw, "#20242c").alias("colour")).withColumn("rgb", s.rgb("colour"))
+    return out.select("p_partkey", "colour", F.round(F.col("rgb")[0], 6).alias("red"), F.round(F.col("rgb")[2], 6).alias("blue"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark, sf_dir):
-    keys = [F.get_json_object("props", f"$.{k}").alias(k) for k in ("page", "ref", "k")]
-    return table(spark, sf_dir, "events").select("event_id", *keys)
+    """Parsed, written again as the catalog writes its items, and read back."""
+    keys = "struct<page:string,ref:string,k:string>"
+    written = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.from_json("props", keys).alias("p")), {"ignoreNullFields": "false"}).alias("j"))
+    return written.select("event_id", F.from_json("j", f"struct<p:{keys}>")["p"].alias("p")).select("event_id", "p.*")
 
 
 # classification ------------------------------------------------------------
@@ -143,14 +202,19 @@ def _types(hay: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({hay}, '(?i){p}') THEN 'type:{label}' END" for label, p in RULES.types) + "], lambda x: x IS NOT NULL)"
 
 
-_HAY = "lower(p_brand || ' ' || p_name || ' ' || p_name)"
-_CLASSED = f"""h AS (SELECT p_partkey, p_type, p_name, {_HAY} AS hay, lower(p_type) AS inner_hay FROM part),
- a AS (SELECT *, coalesce({_case(RULES.factions, 'hay')}, {_case(RULES.factions, 'inner_hay')}) AS faction FROM h),
+def _classes(source: str) -> str:
+    """b: the columns of ``source`` (hay, inner_hay) with faction, category and types."""
+    return f"""a AS (SELECT *, coalesce({_case(RULES.factions, 'hay')}, {_case(RULES.factions, 'inner_hay')}) AS faction FROM {source}),
  b AS (SELECT *, CASE WHEN faction IS NOT NULL OR regexp_matches(hay, '(?i){RULES.war_pattern}') OR regexp_matches(inner_hay, '(?i){RULES.war_pattern}') THEN '{RULES.war_category}'
    ELSE coalesce({_case(RULES.categories, 'hay')}, {_case(RULES.categories, 'inner_hay')}, '{RULES.default_category}') END AS category,
    CASE WHEN len({_types('hay')}) > 0 THEN {_types('hay')} ELSE {_types('inner_hay')} END AS types FROM a)"""
 
 
+_HAY = "lower(p_brand || ' ' || p_name || ' ' || p_name)"
+_CLASSED = f"""h AS (SELECT p_partkey, p_type, p_name, {_HAY} AS hay, lower(p_type) AS inner_hay FROM part),
+ {_classes('h')}"""
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     path = F.concat("p_brand", F.lit(" "), "p_name")
@@ -181,12 +245,12 @@ def types_all_match(spark, sf_dir):
 _CAP = 60
 
 
-@query(f"""WITH {_KITS}, u AS (SELECT id, unnest(files) AS name, generate_subscripts(files, 1) AS pos FROM k),
+@query(f"""WITH {_KITS}, u AS (SELECT id, unnest(list_transform(files, lambda f: replace(f, '.stl', ''))) AS name, generate_subscripts(files, 1) AS pos FROM k),
  d AS (SELECT id, name, min(pos) AS pos FROM u GROUP BY id, name), r AS (SELECT *, coalesce(sum(length(name) + 1) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
  h AS (SELECT id, string_agg(name, ' ' ORDER BY pos) FILTER (WHERE before < {_CAP}) AS hay FROM r GROUP BY id)
  SELECT id, hay, {_case(RULES.factions, 'hay')} AS faction FROM h""")
 def filename_fallback(spark, sf_dir):
-    rows = kits(spark, sf_dir).select("id", c.haystack(F.transform("model_files", lambda f: F.concat(f, F.lit(".STL"))), _CAP).alias("hay"))
+    rows = kits(spark, sf_dir).select("id", c.haystack("model_files", _CAP).alias("hay"))
     return rows.withColumn("faction", c.first_match(RULES.factions, F.col("hay")))
 
 
@@ -290,20 +354,23 @@ def display_field_parts(spark, sf_dir):
 
 
 # merging -------------------------------------------------------------------
-@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id DESC) AS k FROM events WHERE user_id % 7 <> event_id % 2),
- o AS (SELECT * FROM e WHERE k = 1 AND event_id % 2 = 0), n AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS et FROM e WHERE k = 1 AND event_id % 2 = 1)
- SELECT coalesce(o.user_id, n.user_id) AS id, CASE WHEN n.user_id IS NOT NULL THEN n.et ELSE o.event_type END AS status, o.props AS note FROM o FULL JOIN n ON o.user_id = n.user_id""")
+# ids that only one side has: users of even events alone get another name
+@query("""WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 AND user_id % 7 = 0 THEN -user_id - 1 ELSE user_id END AS id FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id, event_id % 2 ORDER BY event_id DESC) AS k FROM e),
+ o AS (SELECT * FROM r WHERE k = 1 AND event_id % 2 = 0), n AS (SELECT *, CASE WHEN id % 3 = 0 THEN NULL ELSE event_type END AS et FROM r WHERE k = 1 AND event_id % 2 = 1)
+ SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.et ELSE o.event_type END AS status, o.props AS note FROM o FULL JOIN n ON o.id = n.id""")
 def catalog_upsert(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("user_id % 7 <> event_id % 2").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.col("event_type").alias("status"), F.col("props").alias("note"))
+    even, user = F.col("event_id") % 2 == 0, F.col("user_id")
+    events = table(spark, sf_dir, "events").select(F.when(even & (user % 7 == 0), -user - 1).otherwise(user).alias("id"), F.col("event_id").alias("ord"), F.col("event_type").alias("status"), F.col("props").alias("note"))
     old = merge.last_write_wins(events.where("ord % 2 = 0")).drop("ord")
     new = merge.last_write_wins(events.where("ord % 2 = 1")).withColumn("status", F.when(F.col("id") % 3 != 0, F.col("status")))
     return merge.upsert(old, new.drop("ord"), ["status"])
 
 
-@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM documents ANTI JOIN labels USING (doc_id)")
 def already_done_anti(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit("project").alias("type"), F.col("n_chars").alias("size_bytes"), F.col("doc_id").alias("ord"))
-    return merge.to_render(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "source")
+    return merge.to_render(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "source", "place")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN s WHEN s IN ('mesh', 'reused') THEN s ELSE 'existing' END AS status, CASE WHEN l.doc_id IS NOT NULL THEN d.doc_id || '.webp' END AS thumbnail
@@ -420,10 +487,11 @@ def gallery_page(spark, sf_dir):
     return gallery_query(_gallery(spark, sf_dir), group_by="col", page=1).select("ord", "n", "col", "header")
 
 
-@query("SELECT doc_id, source, coalesce(source <> lag(source) OVER (PARTITION BY lang ORDER BY source, doc_id), true) AS header FROM documents")
+@query(f"WITH {_ROWS} SELECT ord, c, coalesce(c IS DISTINCT FROM lag(c) OVER (ORDER BY c, n, ord), true) AS header FROM r")
 def group_headers(spark, sf_dir):
-    before = F.lag("source").over(Window.partitionBy("lang").orderBy("source", "doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", (~F.col("source").eqNullSafe(before)).alias("header"))
+    from .views import gallery_query
+
+    return gallery_query(_gallery(spark, sf_dir), group_by="c", whole=True).select("ord", "c", "header")
 
 
 _STEP, _N = 7, 8
@@ -443,58 +511,213 @@ def quantile_sample(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.col("place").cast("long").alias("place"))
 
 
-# elapsed time is two seconds an item, which the fit finds exactly
-@query("""WITH t AS (SELECT o_custkey % 50 AS run, o_orderkey, row_number() OVER w::DOUBLE AS n, count(*) OVER (PARTITION BY o_custkey % 50)::DOUBLE AS na FROM orders WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY o_orderkey))
- SELECT run, o_orderkey, CASE WHEN n >= na THEN 0.0 WHEN n >= 8 THEN round((na - n) * 2.0, 2) END AS fresh FROM t""")
+_TIMED = """i AS (SELECT o_custkey % 50 AS run, o_orderkey, (o_orderkey % 37 + 1)::DOUBLE AS mb, (2 + o_custkey % 3 + o_orderkey % 37 // 4)::DOUBLE AS took FROM orders),
+ t AS (SELECT *, row_number() OVER w::DOUBLE AS n, sum(mb) OVER w AS b, sum(took) OVER w AS t, count(*) OVER (PARTITION BY run)::DOUBLE AS na, sum(mb) OVER (PARTITION BY run) AS ba
+  FROM i WINDOW w AS (PARTITION BY run ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ u AS (SELECT *, sum(n * n) OVER w AS nn, sum(n * b) OVER w AS nb, sum(b * b) OVER w AS bb, sum(n * t) OVER w AS nt, sum(b * t) OVER w AS bt
+  FROM t WINDOW w AS (PARTITION BY run ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ d AS (SELECT *, nn * bb - nb * nb AS det FROM u), f AS (SELECT *, (bb * nt - nb * bt) / nullif(det, 0) AS a, (nn * bt - nb * nt) / nullif(det, 0) AS c FROM d),
+ g AS (SELECT *, det > 0 AND a >= 0 AND c >= 0 AND (a > 0 OR c > 0) AS good FROM f),
+ e AS (SELECT *, CASE WHEN n >= na THEN 0.0 WHEN n >= 8 AND t >= 5 THEN greatest(0.0, CASE WHEN good THEN a * (na - n) + c * (ba - b) ELSE (na - n) * t / n END) END AS fresh FROM g)"""
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time depends on the item's kind and its size: the fit has to find both."""
+    o = F.col("o_orderkey") % 37
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("run"), "o_orderkey", ((o + 1) * 1_000_000).alias("size"), (2 + F.col("o_custkey") % 3 + F.floor(o / 4)).cast("double").alias("took"))
+    elapsed = F.sum("took").over(Window.partitionBy("run").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
+    return reports.running_fit(orders.withColumn("elapsed", elapsed), "o_orderkey", "size", "elapsed")
+
+
+@query(f"WITH {_TIMED} SELECT run, o_orderkey, CASE WHEN det > 0 THEN round(a, 6) END AS a, CASE WHEN det > 0 THEN round(c, 6) END AS c, round(fresh, 4) AS fresh FROM e")
 def running_fit(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("run"), "o_orderkey", F.col("o_totalprice").cast("decimal(20,0)").cast("long").alias("size"))
-    timed = orders.withColumn("elapsed", 2.0 * F.row_number().over(Window.partitionBy("run").orderBy("o_orderkey")))
-    return reports.running_fit(timed, "o_orderkey", "size", "elapsed").select("run", "o_orderkey", (F.round("fresh", 2) + 0.0).alias("fresh"))
+    sure = F.col("det") > 0
+    return _timed(spark, sf_dir).select("run", "o_orderkey", F.when(sure, F.round("a", 6)).alias("a"), F.when(sure, F.round("c", 6)).alias("c"), F.round("fresh", 4).alias("fresh"))
+
+
+@query(f"WITH {_TIMED} SELECT run, round(list_reduce(list(fresh ORDER BY o_orderkey), lambda x, y: 0.75 * x + 0.25 * y), 3) AS eta FROM e WHERE fresh IS NOT NULL AND n < na GROUP BY run")
+def smoothed_eta(spark, sf_dir):
+    """The estimate before the last item: the last one's is always 0."""
+    return reports.smoothed(_timed(spark, sf_dir).where("n < n_all"), "o_orderkey").select("run", F.round("eta", 3).alias("eta"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN md5(source || doc_id % 13) END AS digest FROM documents)
+ SELECT doc_id, digest IS NULL OR row_number() OVER (PARTITION BY digest ORDER BY doc_id) < 3 AS accepted FROM d""")
+def repeated_pictures(spark, sf_dir):
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(i.alias("id"), i.alias("ord"), F.when(i % 9 != 0, F.md5(F.concat("source", (i % 13).cast("string")))).alias("digest"))
+    return reports.repeated_pictures(docs).select(F.col("id").alias("doc_id"), "accepted")
+
+
+_BOXES = """p AS (SELECT l_orderkey AS id, l_linenumber AS part, (l_linenumber * (l_orderkey % 4))::DOUBLE AS x0, l_linenumber * (l_orderkey % 4) + 1.0 + l_linenumber % 2 AS x1, 0.0 AS y0, 1.0 AS y1, 0.0 AS z0, 2.0 AS z1 FROM lineitem)"""
+
+
+@query(f"""WITH {_BOXES}, d AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (z1 - z0) * (z1 - z0)) AS d FROM p),
+ g AS (SELECT id, count(*) AS n, max(d) AS most, sqrt((max(x1) - min(x0)) ** 2 + 1 + 4) AS whole, arg_min(part, struct_pack(k := -d, p := part)) AS largest FROM d GROUP BY id)
+ SELECT id, n, round(whole / most, 9) AS spread, n >= 3 AND whole / most > 2.2 AS apart, largest FROM g""")
+def laid_out_kits(spark, sf_dir):
+    n, k = F.col("l_linenumber"), F.col("l_orderkey") % 4
+    x0 = (n * k).cast("double")
+    one = {"y0": 0.0, "y1": 1.0, "z0": 0.0, "z1": 2.0}
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), n.alias("part"), x0.alias("x0"), (x0 + 1.0 + n % 2).alias("x1"), *[F.lit(v).alias(c) for c, v in one.items()])
+    return reports.laid_out(parts, 2.2).withColumn("spread", F.round("spread", 9))
+
+
+# views ---------------------------------------------------------------------
+_ITEMS = f"""w AS (SELECT l_orderkey AS ord, sum(CAST(l_extendedprice * 1000 AS BIGINT))::BIGINT AS size_bytes, list_sort(list(lower(p_name) || '.stl')) AS files, count(*) AS n,
+ min(struct_pack(k := -CAST(l_extendedprice * 1000 AS BIGINT), n := lower(p_name) || '.stl')).n AS prim FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+ q AS (SELECT *, r_name || '/' || n_name || '/order-' || ord AS path, 'order-' || ord AS name FROM w JOIN orders ON o_orderkey = ord JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ h AS (SELECT *, substr(sha1(lower(replace(path, '/', chr(92)))), 1, 16) AS id, lower(path || ' ' || name) AS hay, array_to_string(list_sort(list_distinct(list_transform(files, lambda f: replace(f, '.stl', '')))), ' ') AS inner_hay FROM q),
+ {_classes('h')},
+ z AS (SELECT *, list_concat(list_concat(CASE WHEN faction IS NULL THEN [] ELSE ['faction:' || faction] END, types), ['format:stl', 'source:' || r_name, 'packed:false']) AS tags FROM b)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Orders as scanned items, and the scan roots."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    files = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    listed = files.select(F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))).alias("dir"), F.lower(F.concat("p_name", F.lit(".stl"))).alias("name"), (F.col("l_extendedprice") * 1000).cast("decimal(20,0)").cast("long").alias("size"))
+    names = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    out = rollup.items(listed, RULES, spark.createDataFrame([(n, k) for k, n in enumerate(names)], "root string, ord int"))
+    key = F.element_at(F.split("path", "order-"), -1).cast("long")
+    return out.withColumns({"ord": key, "inner_bytes": F.lit(None).cast("long"), "thumb_error": F.lit(None).cast("string")}), names
+
+
+@query(f"""WITH {_ITEMS} SELECT id, 'project' AS type, name, name AS display_name, n_name AS collection, n_name AS breadcrumb, prim AS primary_file, array_to_string(files[1:25], '|') AS all_files,
+ substr(md5(array_to_string(files, '|') || '::' || n || '::' || size_bytes), 1, 16) AS fingerprint, category, coalesce(faction, '') AS faction, r_name AS source, 'False' AS packed, n::VARCHAR AS part_count, 'stl' AS formats,
+ size_bytes::VARCHAR AS size_bytes, (((size_bytes + 5000) // 10000) / 100.0)::VARCHAR AS size_mb, path, '' AS thumbnail, 'pending' AS thumb_status, '' AS thumb_error, array_to_string(tags, '|') AS tags FROM z""")
+def catalog_csv(spark, sf_dir):
+    from .views import csv_rows
+
+    return csv_rows(*_items(spark, sf_dir), RULES)
+
+
+@query(f"""WITH {_ITEMS} SELECT name AS n, category AS c, coalesce(faction, '') AS f, r_name AS s, n_name AS col, n_name AS bc, 0 AS p, n::INT AS pc, ((size_bytes + 50000) // 100000) / 10.0 AS mb, '' AS t, path, 'pending' AS ts, '' AS te, prim AS pf,
+ n::INT AS nf, array_to_string(list_filter(tags, lambda t: starts_with(t, 'type:')), '|') AS tags, ord FROM z""")
+def gallery_fields(spark, sf_dir):
+    from .views import gallery_rows
+
+    return gallery_rows(*_items(spark, sf_dir), RULES).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query(f"""WITH {_ITEMS} SELECT id, name, array_to_string(list_concat(tags, ['collection:' || n_name]), '|') AS tags, category || ' | source=' || r_name || ' | collection=' || n_name || ' | ' || n || ' parts | ' || path AS notes,
+ 'file:///' || replace(path, ' ', '%20') AS url FROM z""")
+def tracker_models(spark, sf_dir):
+    from .views import tracker_import
+
+    models, _ = tracker_import(*_items(spark, sf_dir), RULES)
+    return models.select("id", "name", F.array_join("tags", "|").alias("tags"), "notes", F.col("sources")[0]["url"].alias("url"))
+
+
+@query(f"""WITH {_ITEMS}, f AS (SELECT *, substr(md5(array_to_string(files, '|') || '::' || n || '::' || size_bytes), 1, 16) AS fp, substr(md5(array_to_string(files, '|') || '::' || n), 1, 16) AS loose FROM z),
+ x AS (SELECT fp FROM f GROUP BY fp HAVING count(*) >= 2),
+ g AS (SELECT 'exact' AS match, fp AS key, count(*) AS copies, sum(size_bytes) - arg_min(size_bytes, struct_pack(p := lower(path), o := ord)) AS waste, min(ord) AS first FROM f GROUP BY fp HAVING count(*) >= 2
+  UNION ALL SELECT 'same names', loose, count(*), sum(size_bytes) - arg_min(size_bytes, struct_pack(p := lower(path), o := ord)), min(ord) FROM f GROUP BY loose HAVING count(*) >= 2 AND NOT bool_and(fp IN (SELECT fp FROM x))),
+ r AS (SELECT *, CASE match WHEN 'exact' THEN 'exact-' ELSE 'near-' END || row_number() OVER (PARTITION BY match ORDER BY waste DESC, first) AS grp FROM g)
+ SELECT match, grp AS "group", name, n_name AS collection, copies, ((size_bytes + 50000) // 100000) / 10.0 AS size_mb, n::INT AS parts, path FROM r JOIN f ON key = CASE match WHEN 'exact' THEN fp ELSE loose END""")
+def duplicates_csv(spark, sf_dir):
+    from .views import duplicate_rows
+
+    return duplicate_rows(*_items(spark, sf_dir), RULES)
+
+
+@query(f"""WITH {_ITEMS} SELECT ord, prim AS listed, CASE ord % 3 WHEN 0 THEN prim WHEN 1 THEN files[1] ELSE name END AS file FROM z""")
+def primary_files(spark, sf_dir):
+    items, _ = _items(spark, sf_dir)
+    k = F.col("ord") % 3
+    bare = items.withColumns({"listed": F.col("primary_file"), "primary_file": F.when(k == 0, F.col("primary_file")).when(k == 1, ""), "model_files": F.when(k != 2, F.col("model_files")).otherwise(F.array().cast("array<string>"))})
+    return bare.select("ord", "listed", s.primary_file().alias("file"))
+
+
+@query(f"WITH {_ITEMS} SELECT ord FROM z WHERE ord % 4 <> 1")
+def ignored_paths(spark, sf_dir):
+    from .catalog import drop_ignored
+
+    inner = F.when(F.col("ord") % 4 == 1, F.lit("/ Old Stuff /x")).when(F.col("ord") % 4 == 2, F.lit("/old stuff x")).otherwise("")
+    items = _items(spark, sf_dir)[0].withColumn("path", F.concat("path", inner))
+    rules = c.load_rules(spark, '{"ignore_folders": ["tmp"]}', '{"ignore_folders": [" OLD stuff ", 5]}')
+    return drop_ignored(items, rules.ignored_dirs).select("ord")
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)gasket') THEN 'Seals' WHEN regexp_matches(p_name, '(?i)widget') THEN 'Widgets' ELSE 'Rest' END AS category FROM part""")
+def rules_overlay(spark, sf_dir):
+    """A local rules file replaces the keys it has, and a broken pattern is passed over."""
+    rules = c.load_rules(spark, '{"categories": {"Gears": "gear"}, "default_category": "Rest", "factions": {}}', '{"categories": {"_note": "x", "Seals": "gasket", "Bad": "(", "Widgets": "widget"}}')
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", c.classified(rules, F.lit("none"), F.col("p_name"), None)["category"].alias("category"))
 
 
 # files ---------------------------------------------------------------------
-def _tree() -> Path:
-    """A small folder tree with everything that a listing has to get right."""
-    root = Path(tempfile.mkdtemp(prefix="shelfmark-tree-"))
+def _tree(spark: SparkSession) -> str:
+    """A small folder tree with everything that a listing has to get right, below
+    the folder that executors share."""
+    root = Path(fresh_path(spark, "tree").removeprefix("file://"))
     for name, size in (("Kit A/body.stl", 184), ("Kit A/arm.STL", 284), ("Kit A/preview.png", 9), ("Kit A/notes.txt", 5), ("Kit A/._junk.stl", 3), ("Kit B/_under.stl", 20), (".hid/h.stl", 21), ("Kit B/100%.stl", 22), ("__MACOSX/x.stl", 1), ("top.obj", 7)):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(b"0" * size)
-    with zipfile.ZipFile(root / "Kit B/pack.zip", "w") as archive:
-        for name, size in (("a.stl", 284), ("in/b.stl", 384), ("c.obj", 10), ("notes.txt", 4), ("__MACOSX/._a.stl", 4), ("render.png", 8)):
-            archive.writestr(name, b"0" * size)
+    for pack, entries in (
+        ("pack", (("a.stl", b"0" * 284), ("in/b.stl", b"0" * 384), ("c.obj", b"0" * 10), ("notes.txt", b"0000"), ("__MACOSX/._a.stl", b"0000"), ("render.png", b"no image"))),
+        ("shown", (("x.stl", b"0" * 9), ("big.png", b"\x89PNG" + b"0" * 90), ("in/cover.png", b"\x89PNG" + b"0" * 9), ("thumb.jpg", b"broken" * 9))),
+    ):
+        with zipfile.ZipFile(root / f"Kit B/{pack}.zip", "w") as archive:
+            for name, data in entries:
+                archive.writestr(name, data)
     (root / "Kit B/broken.zip").write_bytes(b"no zip")
     (root / "Kit B/old.rar").write_bytes(b"Rar!")
-    return root
+    return str(root)
 
 
-@query()
+def _relative(column: str, root: str):
+    return F.replace(column, F.lit(root), F.lit("~")).alias(column)
+
+
+@query("""SELECT * FROM (VALUES ('~', 'top.obj', 7), ('~/.hid', 'h.stl', 21), ('~/Kit A', 'arm.STL', 284), ('~/Kit A', 'body.stl', 184), ('~/Kit A', 'preview.png', 9), ('~/Kit B', '100%.stl', 22), ('~/Kit B', '_under.stl', 20), ('~/Kit B', 'broken.zip', 6),
+ ('~/Kit B', 'old.rar', 4)) t(dir, name, size)""")
 def scan_tree(spark, sf_dir):
     from ..sources import tree
 
-    root = str(_tree())
-    rows = tree.scan(spark, [root])
-    return rows.select(F.replace("dir", F.lit(root), F.lit("~")).alias("dir"), "name", "size", "is_symlink", "unreadable")
+    root = _tree(spark)
+    rows = tree.scan(spark, [root]).where("not unreadable and not is_symlink and name not in ('pack.zip', 'shown.zip')")
+    return rows.select(_relative("dir", root), "name", F.col("size").cast("int").alias("size"))
+
+
+@query("""SELECT * FROM (VALUES ('~/.hid', 'h.stl'), ('~/Kit A', 'arm.STL'), ('~/Kit A', '._junk.stl'), ('~/__MACOSX', 'x.stl'), ('~/Kit A', 'body.stl')) t(dir, name)""")
+def scan_options(spark, sf_dir):
+    """Other folders, prefixes and extensions than the defaults."""
+    from ..sources import tree
+
+    root = _tree(spark)
+    rows = tree.scan(spark, [root], ignore_dirs="kit b, none", ignore_prefixes="~", extensions="stl")
+    return rows.select(_relative("dir", root), "name")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('~/Kit B/pack.zip', 'packed', NULL, 3, 678, 'b.stl|a.stl|c.obj', 'obj|stl|zip', NULL), ('~/Kit B/shown.zip', 'reused', 'picture in the archive: cover.png', 1, 9, 'x.stl', 'stl|zip', 'cover.png'),
+ ('~/Kit B/broken.zip', 'packed', 'not a readable zip (BadZipFile)', NULL, NULL, NULL, NULL, NULL), ('~/Kit B/old.rar', 'unsupported', '.rar is known by name only', NULL, NULL, NULL, NULL, NULL)) t(path, status, detail, part_count, inner_bytes, model_files, formats, preview)""")
 def zip_rollup(spark, sf_dir):
     from ..sources import archives, tree
 
-    root = str(_tree())
+    root = _tree(spark)
     packed = tree.scan(spark, [root], extensions="zip,rar").select(F.concat_ws("/", "dir", "name").alias("path"))
     found = archives.contents(packed)
-    return found.select(F.replace("path", F.lit(root), F.lit("~")).alias("path"), "status", "detail", "part_count", "inner_bytes", F.array_join("model_files", "|").alias("model_files"), F.array_join("formats", "|").alias("formats"))
+    return found.select(_relative("path", root), "status", "detail", "part_count", F.col("inner_bytes").cast("int").alias("inner_bytes"), F.array_join("model_files", "|").alias("model_files"), F.array_join("formats", "|").alias("formats"), "preview")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('~', 'project', 1, 7, 'top.obj', 'obj', 'pending'), ('~/.hid', 'project', 1, 21, 'h.stl', 'stl', 'pending'), ('~/Kit A', 'project', 2, 468, 'arm.STL', 'STL|stl', 'pending'), ('~/Kit B', 'project', 2, 42, '100%.stl', 'stl', 'pending'),
+ ('~/Kit B/broken.zip', 'archive', NULL, 6, NULL, 'zip', 'packed'), ('~/Kit B/old.rar', 'archive', NULL, 4, NULL, 'rar', 'packed')) t(path, type, part_count, size_bytes, primary_file, formats, thumb_status)""")
 def scanned_items(spark, sf_dir):
-    from ..operators import rollup
     from ..sources import tree
 
-    root = str(_tree())
+    root = _tree(spark)
     roots = spark.createDataFrame([(root, 0)], "root string, ord int")
-    out = rollup.items(tree.scan(spark, [root]), RULES, roots)
-    return out.select(F.replace("path", F.lit(root), F.lit("~")).alias("path"), "name", "type", "part_count", "size_bytes", "primary_file", F.array_join("formats", "|").alias("formats"), "category", "thumb_status")
+    out = rollup.items(tree.scan(spark, [root]), RULES, roots).where("name not in ('pack', 'shown', 'pack.zip', 'shown.zip')")
+    return out.select(_relative("path", root), "type", "part_count", F.col("size_bytes").cast("int").alias("size_bytes"), "primary_file", F.array_join("formats", "|").alias("formats"), "thumb_status")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars > 2000 THEN format('{:,}', (n_chars * 1000 + 500000) // 1000000) || ' MB, limit 2 MB' END AS detail, n_chars * 1000 > 2000000 AS too_big FROM documents")
+def size_deferral(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 1000).alias("size_bytes"))
+    return hydration.deferred(docs, 2).select("doc_id", F.col("too_big_detail").alias("detail"), "too_big")
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderkey % 7 AS m FROM orders), d AS (SELECT id, k, list_filter([0, 1, 2], lambda j: k <> 0 AND (m + j) % 3 = 0) AS disk, list_filter([0, 1, 2], lambda j: k <> 0 AND (m + j) % 3 = 1 AND k <> 4) AS cloud FROM k)
@@ -510,17 +733,52 @@ def hydration_status(spark, sf_dir):
     return hydration.skip_status(items, probe).select("id", "skip")
 
 
-@query()
+_QUEUE = """k AS (SELECT o_orderkey AS id, 'o' || o_orderkey AS path, o_orderkey % 5 AS k, o_orderkey % 7 AS m, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM orders WHERE o_orderkey % 10 <> 3),
+ d AS (SELECT *, list_filter([0, 1, 2], lambda j: k IN (1, 2) AND (m + j) % 3 = 0) AS disk, list_filter([0, 1, 2], lambda j: k IN (1, 2, 3) AND (m + j) % 3 = 1) AS cloud FROM k),
+ e AS (SELECT *, 3 - len(disk) - len(cloud) AS gone, list_filter(disk, lambda j: j <> 1) AS readable, CASE WHEN k = 0 THEN 'no_model_file' WHEN len(disk) > 0 THEN NULL WHEN len(cloud) > 0 THEN 'cloud_only' ELSE 'missing' END AS skip FROM d),
+ f AS (SELECT *, CASE WHEN skip IS NULL AND size > 20000000 THEN 'too_big' WHEN id % 8 = 0 THEN 'reused' WHEN skip IS NOT NULL THEN skip WHEN len(readable) = 0 THEN 'unsupported' ELSE 'mesh' END AS status, row_number() OVER (ORDER BY size, id) AS place FROM e)"""
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items of three parts each, and the state of their files."""
+    i = F.col("o_orderkey")
+    names = F.array(F.lit("p0.stl"), F.lit("p1.step"), F.lit("p2.obj"))
+    items = table(spark, sf_dir, "orders").select(
+        i.alias("id"), i.alias("ord"), F.concat(F.lit("o"), i.cast("string")).alias("path"), F.lit("project").alias("type"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(names).alias("model_files"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("size_bytes"), (i % 4 == 0).alias("has_shipped_preview"), F.concat(F.lit("o"), i.cast("string"), F.lit("/show.png")).alias("preview_file"),
+    )
+    parts = items.where("id % 5 <> 0").select("id", F.posexplode("model_files").alias("j", "file"), "path")
+    where, k = (F.col("id") % 7 + F.col("j")) % 3, F.col("id") % 5
+    state = F.when((where == 0) & k.isin(1, 2), True).when((where == 1) & k.isin(1, 2, 3), False)
+    probe = parts.select(F.concat_ws("/", "path", "file").alias("path"), state.alias("hydrated")).where("hydrated is not null")
+    return items, probe.unionByName(items.where("id % 8 = 0").select(F.col("preview_file").alias("path"), F.lit(True).alias("hydrated")))
+
+
+@query(f"""WITH {_QUEUE} SELECT id, CASE WHEN status IN ('reused', 'mesh') THEN place END AS place, status, CASE status WHEN 'too_big' THEN format('{{:,}}', (size + 500000) // 1000000) || ' MB, limit 20 MB' WHEN 'unsupported' THEN 'no reader for .step'
+ WHEN 'mesh' THEN 'drawn from ' || len(readable) || ' of ' || (len(readable) + len(cloud) + gone) || ' part(s)' WHEN 'cloud_only' THEN len(cloud) || ' part(s) not downloaded' WHEN 'missing' THEN gone || ' part(s) gone from ' || path END AS detail FROM f""")
+def render_queue(spark, sf_dir):
+    items, probe = _rendered(spark, sf_dir)
+    done = items.where("id % 10 = 3").select("id")
+    return hydration.queue(items, probe, done, 20, engines=("mesh",)).select("id", "place", "status", "detail")
+
+
+@query(f"WITH {_QUEUE.replace('WHERE o_orderkey % 10 <> 3', '')} SELECT id, array_to_string(list_transform(disk, lambda j: path || '/p' || j || ['.stl', '.step', '.obj'][j + 1]), '|') AS on_disk, len(cloud) AS n_cloud, CASE WHEN k = 0 THEN 0 ELSE gone END AS n_gone, id % 8 = 0 AS preview_ok, len(disk) > 0 AS model_ok FROM f")
+def hydrated_parts(spark, sf_dir):
+    return hydration.renderable_now(*_rendered(spark, sf_dir)).select("id", F.array_join("on_disk", "|").alias("on_disk"), "n_cloud", "n_gone", "preview_ok", "model_ok")
+
+
+@query("""SELECT * FROM (VALUES ('h.stl', 'project', '.hid', '.hid', '1', 'stl', '0.0', 'pending', ''), ('arm.STL', 'project', 'Kit A', 'Kit A', '2', 'STL|stl', '0.0', 'pending', ''), ('100%.stl', 'project', 'Kit B', 'Kit B', '2', 'stl', '0.0', 'pending', ''),
+ ('b.stl', 'archive', 'pack.zip', 'Kit B', '3', 'obj|stl|zip', '0.0', 'packed', ''), ('x.stl', 'archive', 'shown.zip', 'Kit B', '1', 'stl|zip', '0.0', 'reused', 'picture in the archive: cover.png'),
+ ('broken.zip', 'archive', 'broken.zip', 'Kit B', '', 'zip', '0.0', 'packed', 'not a readable zip (BadZipFile)'), ('old.rar', 'archive', 'old.rar', 'Kit B', '', 'rar', '0.0', 'unsupported', '.rar is known by name only'))
+ t(primary_file, type, display_name, collection, part_count, formats, size_mb, thumb_status, thumb_error)""")
 def catalog_cycle(spark, sf_dir):
     """Scan, look inside archives, and list the catalog's CSV rows."""
     from .catalog import Catalog
     from .views import csv_rows
 
-    root = _tree()
-    catalog = Catalog(spark, Path(tempfile.mkdtemp(prefix="shelfmark-catalog-")), RULES)
-    catalog.scan([str(root)])
+    root = _tree(spark)
+    catalog = Catalog(spark, Path(fresh_path(spark, "catalog").removeprefix("file://")), RULES)
+    catalog.scan([root])
     catalog.look_inside()
-    return csv_rows(catalog.items(), catalog.sources(), RULES).select("name", "type", "display_name", "collection", "part_count", "formats", "size_mb", "thumb_status", "thumb_error")
-
-
-
+    rows = csv_rows(catalog.items(), catalog.sources(), RULES).where(F.col("path") != root)
+    return rows.select("primary_file", "type", "display_name", "collection", "part_count", "formats", "size_mb", "thumb_status", "thumb_error")

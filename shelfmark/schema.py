@@ -22,13 +22,14 @@ SCANNED = ["type", "name", "path", "source", "category", "faction", "packed", "p
 
 #: File kinds by extension, and the outcomes of a thumbnail.
 MODEL = ("stl", "obj", "3mf", "step", "stp", "ply")
-IMAGE = ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff")
+IMAGE = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tif", "tiff")
 ARCHIVE = ("zip", "rar", "7z")
 OK_STATUS = ("reused", "shell", "mesh", "existing")
 STATUS = (*OK_STATUS, "pending", "packed", "cloud_only", "missing", "no_model_file", "unsupported", "too_big", "timeout", "failed")
 #: What a scan passes over.
 IGNORED_DIRS = ("__macosx", ".git", ".svn", "$recycle.bin", "system volume information", ".trashes", "#recycle", ".dropbox.cache", ".tmp.driveupload")
 IGNORED_PREFIXES = ("._",)
+#: Names of preview pictures, and caps of the views.
 PREVIEW_HINT = "render|preview|thumb|_prev|display|promo|cover|hero|showcase"
 HAYSTACK_CAP, ZIP_FILES_CAP, ALL_FILES_CAP, PAGE = 4000, 200, 25, 120
 #: Folder names that say nothing about what is inside, where no list is configured.

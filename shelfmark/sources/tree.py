@@ -4,8 +4,9 @@ Names, sizes and kinds only; no file is opened. Spark's own file sources drop
 names that start with ``_`` or ``.``, so they can't stand in. Folders to pass
 over are pruned before descent, other extensions before their size is read;
 links to folders are never followed, links to files are listed; a folder that
-can't be read becomes one row with ``unreadable`` set. Every folder right below
-a root is a partition of its own, and the root's own files are one more.
+can't be read becomes one row with ``unreadable`` set. Folders are opened level
+by level until there are BRANCHES of them, or LEVELS levels are open: each opened
+one is a partition with its own files, each other one a partition with all below.
 
 Options: ``roots`` (one a line), ``ignore_dirs``, ``ignore_prefixes``,
 ``extensions`` (comma-separated; they replace the defaults).
@@ -23,6 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schema import ARCHIVE, FILES, IGNORED_DIRS, IGNORED_PREFIXES, IMAGE, MODEL
 
 
+BRANCHES, LEVELS = 64, 4
+
+
 @dataclass
 class Branch(InputPartition):
     root: str
@@ -40,14 +44,20 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for root in self.roots:
-            out.append(Branch(root, root, False))
-            try:
-                with os.scandir(root) as entries:
-                    out += [Branch(root, e.path, True) for e in entries if self._enters(e)]
-            except OSError:
-                pass  # the root's own partition reports it
-        return out or [Branch("", "", False)]
+        front = [(root, root) for root in self.roots]
+        for level in range(LEVELS):
+            if not front or level and len(front) >= BRANCHES:
+                break
+            below = []
+            for root, folder in front:
+                out.append(Branch(root, folder, False))
+                try:
+                    with os.scandir(folder) as entries:
+                        below += [(root, e.path) for e in entries if self._enters(e)]
+                except OSError:
+                    pass  # the folder's own partition reports it
+            front = below
+        return out + [Branch(root, folder, True) for root, folder in front] or [Branch("", "", False)]
 
     def _enters(self, entry: os.DirEntry) -> bool:
         try:

@@ -81,7 +81,7 @@ def test_archives(library, spark):
     catalog.scan()
     assert by_name(catalog)["Bits.zip"]["part_count"] == 3
     with zipfile.ZipFile(models / "Bits.zip") as z:
-        assert archives.member_bytes(z, z.getinfo("a.stl"), 283) is None and len(archives.member_bytes(z, z.getinfo("a.stl"), 284)) == 284
+        assert archives.bounded(z.open("a.stl"), 283) is None and len(archives.bounded(z.open("a.stl"), 284)) == 284
 
 
 def test_move_prune_and_offline_roots(library, spark):
@@ -195,7 +195,7 @@ def test_duplicates_and_views(library):
     document = json.loads((catalog.folder / "catalog.json").read_text())
     assert document["counts"] == {"total": 8, "projects": 8, "archives": 0, "thumbnails_rendered": 0} and len(document["items"]) == 8
     page = (catalog.folder / "gallery.html").read_text()
-    assert page.count("</script>") == 1 and "<b>" not in page.split("<script>")[1].replace("\\u003c", "<").split("const list")[0].replace('<b>\\"and', "")
+    assert page.count("</script>") == 1 and "<b>" not in page.split("<script>")[1].replace("\\u003c", "<").split("const by")[0].replace('<b>\\"and', "")
     part = next((catalog.folder / "catalog_csv").glob("part-*.csv")).read_text().splitlines()
     assert part[0].split(",") == list(views.CSV_COLUMNS) and len(part) == 9
     spark = catalog.spark
@@ -281,3 +281,93 @@ def test_pixels_of_the_gallery_query(spark):
     assert [r["n"] for r in views.gallery_query(rows, faction="F", text="P/B").collect()] == ["b", "B"]
     assert [r["n"] for r in views.gallery_query(rows, per_page=3, page=1).collect()] == ["a"]
     assert views.gallery_query(rows, status="mesh").count() == 0 and views.gallery_query(rows, picture=False).count() == 4
+
+
+def test_render_takes_previews_draws_and_says_why(library):
+    models, catalog = library
+    (models / "Shown").mkdir()
+    (models / "Shown/preview.png").write_bytes(b"\x89PNG picture")
+    stl(models / "Shown/x.stl", 1)
+    stl(models / "Cad/part.step", 1)
+    stl(models / "Big/huge.stl", 40_000)
+    catalog.scan([str(models)])
+    plan = {r["id"]: r for r in catalog.render(max_mb=1).collect()}
+    got = by_name(catalog)
+    assert {k: r["thumb_status"] for k, r in got.items()} == {"files": "pending", "Ork Nob": "pending", "Shown": "reused", "Cad": "unsupported", "Big": "too_big"}
+    assert got["Big"]["thumb_error"] == "2 MB, limit 1 MB" and got["Cad"]["thumb_error"] == "no reader for .step"
+    assert (catalog.folder / "thumbnails" / got["Shown"]["thumbnail"]).read_bytes() == b"\x89PNG picture"
+    assert [plan[got[k]["id"]]["place"] is None for k in ("Cad", "Big", "Ork Nob")] == [True, True, False]
+    os.remove(models / "Warhound Titan/files/body.stl")
+    plan = catalog.render(draw={"mesh": lambda files: b"drawn" if "nob" not in files[0] else None})
+    assert plan.where("status = 'reused'").count() == 0  # it has its picture
+    got = by_name(catalog)
+    assert (got["files"]["thumb_status"], got["files"]["thumb_error"]) == ("mesh", "drawn from 2 of 3 part(s)")
+    assert got["Ork Nob"]["thumb_status"] == "failed" and got["Big"]["thumb_status"] == "mesh"
+    catalog.write_views()
+    imported = json.loads((catalog.folder / "import.json").read_text())
+    assert imported["schema"] == 2 and len(imported["models"]) == 5 and len(imported["images"]) == 3
+
+
+def test_a_file_at_a_projects_path_is_no_project(library):
+    models, catalog = library
+    catalog.scan([str(models)])
+    shutil.rmtree(models / "Ork Nob")
+    (models / "Ork Nob").write_text("a file now")
+    assert catalog.relocate(prune=True)["dropped"] == 1
+
+
+def test_configured_ignores_replace_the_defaults(library, spark):
+    models, catalog = library
+    stl(models / "__MACOSX/shown.stl", 1)
+    stl(models / "Old/hidden.stl", 1)
+    stl(models / "New/tmp_a.stl", 1)
+    stl(models / "New/b.stl", 1)
+    from shelfmark.functions.classify import load_rules
+
+    catalog.rules = load_rules(spark, None, json.dumps({"ignore_folders": ["OLD "], "ignore_file_prefixes": ["tmp_"]}))
+    catalog.scan([str(models)])
+    got = by_name(catalog)
+    assert "Old" not in got and got["__MACOSX"]["part_count"] == 1 and got["New"]["model_files"] == ["b.stl"]
+
+
+def test_archive_pictures(tmp_path, library):
+    models, catalog = library
+    with zipfile.ZipFile(models / "Kit.zip", "w") as z:
+        z.writestr("parts/body.stl", b"0" * 9)
+        z.writestr("big.png", b"\x89PNG" + b"0" * 99)
+        z.writestr("renders/preview.png", b"\x89PNG small")
+        z.writestr("renders/preview_large.png", b"not a picture, but large")
+    catalog.scan([str(models)])
+    catalog.look_inside()
+    kit = by_name(catalog)["Kit.zip"]
+    assert kit["thumb_status"] == "reused" and (catalog.folder / "thumbnails" / kit["thumbnail"]).read_bytes() == b"\x89PNG small"
+    with zipfile.ZipFile(models / "Kit.zip") as z:
+        entries = [z.getinfo("big.png"), z.getinfo("renders/preview.png")]
+        assert archives.picture(z, entries, cap=4) is None and archives.picture(z, entries[:1])[0] == "big.png"
+
+
+def test_style_is_laid_over_the_local_rules(library):
+    _, catalog = library
+    path = catalog.set_style("night")
+    path.write_text(json.dumps({"categories": {"a": "b"}, "thumbnail_style": {"preset": "x", "angle": 3}}))
+    catalog.set_style("dawn")
+    assert json.loads(path.read_text()) == {"categories": {"a": "b"}, "thumbnail_style": {"preset": "dawn", "angle": 3}}
+    path.write_text("{broken")
+    with pytest.raises(ValueError):
+        catalog.set_style("dusk")
+    assert path.read_text() == "{broken"
+
+
+def test_duplicate_report_and_numbers(library, spark):
+    models, catalog = library
+    for k in range(3):
+        stl(models / f"Copy {k}/body.stl", 3)
+    catalog.scan([str(models)])
+    lines = catalog.duplicate_report()
+    assert lines[0] == "1 exact group(s), 2 extra, 0.00 GB" and lines[2] == "exact-1: 3 copies, 0 MB"
+    from shelfmark.operators.numbering import numbered
+
+    rows = numbered(spark.range(5000).repartition(7).withColumn("k", F.col("id") % 13), ["k", F.desc("id")], "n", first=10).collect()
+    want = sorted(range(5000), key=lambda i: (i % 13, -i))
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["n"])] == want and sorted(r["n"] for r in rows) == list(range(10, 5010))
+    assert numbered(spark.range(0), ["id"]).count() == 0
