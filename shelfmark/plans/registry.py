@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as c
 from ..functions import scalars as s
-from ..functions.display import display_fields
+from ..functions.display import displayed
 from ..operators import duplicates as dup
 from ..operators import hydration, merge, relocate, reports, rollup, sources
 from ..storage import fresh_path
@@ -350,7 +350,7 @@ def display_field_parts(spark, sf_dir):
     tail = F.when(k == 0, F.concat_ws("/", "c_name", F.lit("parts"))).when(k == 1, F.concat_ws("\\", F.lit("Files"), "c_name", F.lit("STL"))).otherwise(F.concat_ws("/", F.lit("Files"), F.lit("FILES"), "c_name", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))))
     roots = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
     rows = joined.select("o_orderkey", F.concat_ws("/", "r_name", "n_name", tail).alias("path"))
-    return rows.select("o_orderkey", *[col.alias(n) for n, col in display_fields("path", roots, _GENERIC).items()])
+    return displayed(rows, "path", roots, _GENERIC).drop("path")
 
 
 # merging -------------------------------------------------------------------
