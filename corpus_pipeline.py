@@ -5,6 +5,13 @@ documents go in the first stage; boilerplate lines go in the second, which also
 sets n_chars to the new length; of near-duplicates (five words, similarity 0.8)
 the document with the smallest doc_id stays; mixing repeats documents; packing
 returns the pieces with their places.
+
+Null and empty texts have no words and go in the first stage, as base rules have
+it. Rows without doc_id go through all stages: line dedup and near duplicates
+leave them alone, mixing and packing treat them like others. Rows that repeat a
+doc_id are one document to near duplicates and stay or go together. A null source
+is a source. Columns that documents don't need pass through, whatever their names.
+Very long texts are read whole. An empty table gives empty stages.
 """
 
 from __future__ import annotations
