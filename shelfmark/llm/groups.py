@@ -15,13 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def paged(members: DataFrame, group: str, item: str, weight: str, page_rows: int, page_weight: int) -> DataFrame:
-    """``members`` with ``page`` and ``pages``; a page has about ``page_rows``
-    rows and ``page_weight`` of ``weight`` at most."""
+#: A written table is broadcast if it is counted to have so few rows, and joined by shuffling beyond.
+FEW = 50_000
+
+
+def few(table: DataFrame, most: int = FEW) -> DataFrame:
+    """``table`` (written before), to be broadcast if its rows are counted few."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def free_name(name: str, taken: set[str] | list[str]) -> str:
+    """``name``, with underscores until ``taken`` doesn't hold it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def large(members: DataFrame, group: str, weight: str, page_rows: int, page_weight: int) -> DataFrame:
+    """(group, pages) of the groups that don't fit in one page. Only these are
+    looked up by group, broadcast while they are few; there is one of them for
+    every ``page_rows`` rows at most."""
     size = members.groupBy(group).agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
     pages = F.greatest(F.ceil(F.col("_n") / page_rows), F.ceil(F.col("_w") / page_weight)).cast("int")
-    size = size.where("_n > 1").select(group, pages.alias("pages"))
-    return members.join(size, group).withColumn("page", F.pmod(F.xxhash64(item), F.col("pages")).cast("int"))
+    return size.select(group, pages.alias("pages")).where("pages > 1")
+
+
+def page_of(item: str | Column, pages: str | Column = "pages") -> Column:
+    return F.pmod(F.xxhash64(item), F.col(pages) if isinstance(pages, str) else pages).cast("int")
 
 
 def page_pairs(page: str = "page", pages: str = "pages") -> Column:
@@ -70,17 +90,26 @@ def bounds(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def stars(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each of ``n`` linked items to the smallest id that it reaches
-    over the links (a, b): a spanning forest of what the links connect."""
-    label = ids.astype(np.int64).copy()
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` items the least item that it reaches over (a, b)."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    out = np.flatnonzero(label != ids)
-    return ids[out], label[out]
+
+
+def stars(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each of ``n`` linked items to the smallest id that it reaches
+    over the links (a, b): a spanning forest of what the links connect."""
+    ids = ids.astype(np.int64)
+    label = labels(n, a, b)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    out = np.flatnonzero(least[label] != ids)
+    return ids[out], least[label][out]

@@ -4,6 +4,11 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Those bytes
 never occur inside a multi-byte character, so byte runs are exactly the runs of
 characters. Hashes are 64 bits: a prefix-sum polynomial over the bytes, then a
 mixing step; equality of hashes is taken as equality of content.
+
+Memory: a chunk is at most CHUNK_BYTES of short texts, or one longer text. Bytes
+are hashed in blocks, with the value of a span that crosses blocks carried on, so
+tables grow with a block; a long text costs its bytes and some arrays of one
+element for each of its words.
 """
 
 from __future__ import annotations
@@ -16,48 +21,65 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 512 << 10
+#: Bytes hashed at a time.
+BLOCK = 256 << 10
+#: Elements of an array that are worked on at a time.
+STRIP = 1 << 16
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
 _LEN = 0xA0761D6478BD642F
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SOLID = np.ones(256, bool)
+SOLID[[0x20, *range(0x09, 0x0E)]] = False
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, np.uint64(base))
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _POWERS[base] = have
-    return have
+def _powers(base: int) -> np.ndarray:
+    """The first BLOCK + 1 powers of ``base``."""
+    out = np.full(BLOCK + 1, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_R), _powers(_R_INV)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64's final step)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    for k in range(0, len(x), STRIP):
+        v = x[k : k + STRIP]
+        v ^= v >> np.uint64(30)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(27)
+        v *= np.uint64(0x94D049BB133111EB)
+        v ^= v >> np.uint64(31)
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of ``x`` in order; ``x`` itself is sorted."""
+    x.sort()
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``flags`` between consecutive ``offsets``."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    if len(offsets) == 2:
+        return np.array([np.count_nonzero(flags)])
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        end = int(offsets[full[-1] + 1])
+        out[full] = np.add.reduceat(flags[:end], offsets[full], dtype=np.int64)
+    return out
 
 
 class Chunk:
@@ -67,32 +89,52 @@ class Chunk:
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
         self.rows = len(offsets) - 1
-        self._sums: np.ndarray | None = None
-        solid = ~SPACE[self.data]
-        n = len(solid)
-        inner = offsets[offsets < n]
-        before = np.zeros(n, bool)
-        after = np.zeros(n, bool)
-        if n:
-            before[1:] = solid[:-1]
-            after[:-1] = solid[1:]
-            before[inner] = False
-            cut = offsets[offsets > 0] - 1
-            after[cut] = False
-        self.solid = solid
-        self.starts = np.flatnonzero(solid & ~before)
-        self.ends = np.flatnonzero(solid & ~after) + 1
+        self.solid = SOLID[self.data]
+        self.starts, self.ends = self._edges()
         #: where each row's words begin among all words
         self.word_offsets = np.searchsorted(self.starts, offsets)
         self.n_words = np.diff(self.word_offsets)
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _blocks(self) -> Iterator[tuple[int, int]]:
         n = len(self.data)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(_R, n + 1)[:n], out=self._sums[1:])
-        value = (self._sums[ends] - self._sums[starts]) * _powers(_R_INV, n + 1)[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(_LEN))
+        return ((k, min(n, k + BLOCK)) for k in range(0, n, BLOCK))
+
+    def _edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends; a row's end ends a word."""
+        solid, n = self.solid, len(self.data)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        starts, ends = [np.empty(0, kind)], [np.empty(0, kind)]
+        heads, tails = self.offsets[:-1], self.offsets[1:] - 1
+        for lo, hi in self._blocks():
+            part = solid[lo:hi]
+            first, last = part.copy(), part.copy()
+            first[1:] &= ~part[:-1]
+            first[0] &= not (lo and solid[lo - 1])
+            last[:-1] &= ~part[1:]
+            last[-1] &= not (hi < n and solid[hi])
+            for flags, rows in ((first, heads), (last, tails)):
+                at = rows[np.searchsorted(rows, lo) : np.searchsorted(rows, hi)] - lo
+                flags[at] = part[at]
+            starts.append((np.flatnonzero(first) + lo).astype(kind))
+            ends.append((np.flatnonzero(last) + (lo + 1)).astype(kind))
+        return np.concatenate(starts), np.concatenate(ends)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of bytes, which are in order and don't overlap."""
+        out = np.zeros(len(starts), np.uint64)
+        for lo, hi in self._blocks():
+            a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi))
+            if a >= b:
+                continue
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * _UP[: hi - lo], out=sums[1:])
+            first, last = np.maximum(starts[a:b], lo) - lo, np.minimum(ends[a:b], hi) - lo
+            part = (sums[last] - sums[first]) * _DOWN[first]
+            if starts[a] < lo:  # goes on from the block before
+                part[0] = np.uint64(int(part[0]) * pow(_R, lo - int(starts[a]), 1 << 64) & (1 << 64) - 1)
+            out[a:b] += part
+        out += (ends - starts).astype(np.uint64) * np.uint64(_LEN)
+        return mix(out)
 
     def word_hashes(self) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends)
@@ -105,8 +147,13 @@ class Chunk:
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         value = np.full(n, np.uint64(width * _LEN & (1 << 64) - 1))
-        for j in range(width):
-            value += words[j : j + n] * np.uint64(pow(_STEP, j + 1, 1 << 64))
+        steps = [np.uint64(pow(_STEP, j + 1, 1 << 64)) for j in range(width)]
+        for k in range(0, n, STRIP):
+            part = value[k : k + STRIP]
+            for j, step in enumerate(steps):
+                part += words[k + j : k + j + len(part)] * step
+        if self.rows == 1:
+            return mix(value), np.arange(n, dtype=np.int32)
         whole = np.ones(n, bool)
         for edge in self.word_offsets[1:-1]:
             whole[max(0, edge - width + 1) : edge] = False
@@ -122,7 +169,7 @@ class Chunk:
         out = []
         for row, n in enumerate(self.n_words.tolist()):
             if n >= width:
-                out.append(np.unique(value[bounds[row] : bounds[row + 1]]))
+                out.append(distinct(value[bounds[row] : bounds[row + 1]]))
             elif n:
                 first = self.word_offsets[row]
                 total = n * _LEN
@@ -176,6 +223,20 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Ch
         first = last
 
 
+#: Rows that Spark hands to Python at a time. Its default of 10,000 would make
+#: batches of tens of MB of documents, held off the heap and again in the worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df`` itself; from now on its session hands over at most ``rows`` rows at a time."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    now = int(conf.get(key))
+    if now <= 0 or now > rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[Chunk], dict[str, object]],
@@ -186,7 +247,7 @@ def map_texts(
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` and, from each chunk of column ``text``, the
     columns named in ``fields`` that ``make`` returns one value a row for."""
-    chosen = df.select(*[df[c] for c in keep if c != text], df[text])
+    chosen = small_batches(df).select(*[df[c] for c in keep if c != text], df[text])
     made = T._parse_datatype_string(fields) if isinstance(fields, str) else fields
     schema = T.StructType([f for f in chosen.schema.fields if f.name in keep] + made.fields)
     names = [f.name for f in schema.fields]
@@ -218,10 +279,12 @@ def text_stats(chunk: Chunk, window: int = 8) -> dict[str, np.ndarray]:
     data, offsets, word_offsets = chunk.data, chunk.offsets, chunk.word_offsets
     point = (data & 0xC0) != 0x80
     words = chunk.word_hashes()
-    owner = np.repeat(np.arange(chunk.rows), chunk.n_words)
+    owner = np.repeat(np.arange(chunk.rows, dtype=np.int32), chunk.n_words)
     tag = mix(np.arange(1, chunk.rows + 1, dtype=np.uint64))
 
-    def distinct(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def kinds(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+        if chunk.rows == 1:
+            return np.array([len(distinct(values.copy()))])
         order = np.argsort(values ^ tag[row])
         keyed = (values ^ tag[row])[order]
         new = np.ones(len(keyed), bool)
@@ -231,18 +294,21 @@ def text_stats(chunk: Chunk, window: int = 8) -> dict[str, np.ndarray]:
     starts, ends, line_row = chunk.lines()
     filled = np.searchsorted(chunk.starts, ends) > np.searchsorted(chunk.starts, starts)
     starts, ends, line_owner = starts[filled], ends[filled], line_row[filled]
-    dup_lines = np.bincount(line_owner, minlength=chunk.rows) - distinct(chunk.span_hashes(starts, ends), line_owner)
+    dup_lines = np.bincount(line_owner, minlength=chunk.rows) - kinds(chunk.span_hashes(starts, ends), line_owner)
 
     value, at = chunk.windows(window, words)
-    value = value ^ tag[owner[at]] if len(at) else value
+    if chunk.rows > 1 and len(at):
+        value ^= tag[owner[at]]
     order = np.argsort(value)
+    value = value[order]
     same = np.zeros(len(value) + 1, bool)
-    same[1:-1] = value[order][1:] == value[order][:-1] if len(value) else False
-    twice = at[order[(same[:-1] | same[1:])]] if len(value) else at
-    cover = np.zeros(len(words) + window + 1, np.int64)
+    same[1:-1] = value[1:] == value[:-1]
+    twice = at[order[same[:-1] | same[1:]]]
+    del value, order, same, at
+    cover = np.zeros(len(words) + window + 1, np.int8)
     cover[twice] += 1
     cover[twice + window] -= 1
-    repeated = np.cumsum(cover)[: len(words)] > 0
+    repeated = np.cumsum(cover, dtype=np.int32)[: len(words)] > 0
 
     last = data[chunk.ends - 1] if len(chunk.ends) else np.empty(0, np.uint8)
     echo = np.zeros(len(words), bool)
@@ -264,5 +330,5 @@ def text_stats(chunk: Chunk, window: int = 8) -> dict[str, np.ndarray]:
         "n_symbol_ends": per_row(SYMBOL[last], word_offsets),
         "n_bang_ends": per_row(last == 33, word_offsets),
         "n_echo": per_row(echo, word_offsets),
-        "n_distinct": distinct(words, owner).astype(np.int64),
+        "n_distinct": kinds(words, owner).astype(np.int64),
     }

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from shelfmark.llm import graph, jaccard, sigtree
+from shelfmark.llm import graph, groups, jaccard, sigtree
 
 from .helpers import docs_table, odd_table, sf
 
@@ -41,10 +41,10 @@ def brute(rows, width, num, den):
     return {i: find(i) for i in up}
 
 
-def same(docs, width, num, den):
+def same(docs, width, num, den, **how):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = brute(rows, width, num, den)
-    out = jaccard.join(docs, width, num, den).collect()
+    out = jaccard.join(docs, width, num, den, **how).collect()
     assert len(out) == len(rows)
     sizes = sorted((str(i), len(shingles(t, width))) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_shingles"]) for r in out) == sizes
@@ -72,6 +72,7 @@ def test_odd_rows_and_chains(spark, monkeypatch):
     docs = docs_table(spark, rows).unionByName(odd_table(spark))
     same(docs, 3, 90, 100)
     same(docs, 5, 80, 100)
+    same(docs, 3, 90, 100, miss=0)
     assert jaccard.join(docs_table(spark, [])).count() == 0
     kept = jaccard.keep_one(docs, 3, 90, 100)
     assert {r["doc_id"] for r in kept.collect()} >= {None, 1, 2, 3, 6}
@@ -91,7 +92,13 @@ def test_signature_trees_find_all_links(seed, monkeypatch):
     side = rng.random(len(sets)) < 0.5
     link = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert {(max(i, j), min(i, j)) for i, j in zip(*sigtree.links(sets, 80, 100))} == link
-    assert {(max(i, j), min(i, j)) for i, j in zip(*sigtree.links(sets, 80, 100, side))} == {(i, j) for i, j in link if side[i] != side[j]}
+    across = {(i, j) for i, j in link if side[i] != side[j]}
+    assert {(max(i, j), min(i, j)) for i, j in zip(*sigtree.links(sets, 80, 100, side))} == across
+    for sides, all_links in ((None, link), (side, across)):
+        some = {(max(i, j), min(i, j)) for i, j in zip(*sigtree.connections(sets, 80, 100, sides))}
+        assert some <= all_links
+        connected = lambda pairs: groups.labels(len(sets), *(np.array([p[k] for p in pairs], int) for k in (0, 1))).tolist()
+        assert connected(sorted(some)) == connected(sorted(all_links))
 
 
 def test_components(spark):
