@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pytest
 
 from shelfmark.llm import capjoin
 
@@ -56,6 +59,46 @@ def test_recall_and_no_wrong_links(spark, monkeypatch):
     assert total > 10_000 and found >= 0.99 * total
 
 
+@pytest.mark.parametrize("dim, n", ((64, 1_000), (64, 100_000), (384, 100_000), (64, 10_000_000)))
+def test_recall_of_pairs_that_just_link(dim, n):
+    """The code for n vectors, and the sketches, on pairs of cosine 0.93 to 0.95."""
+    rng = np.random.default_rng(6)
+    x, y = (rng.normal(size=(1000, dim)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = rng.uniform(0.93, 0.95, (1000, 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * y
+    filters = capjoin.Filters(dim, n)
+    lists = []
+    for v in (x, y):
+        who, code = filters.of(v)
+        assert np.bincount(who, minlength=1000).min() >= capjoin.LEAST
+        lists.append([set(c.tolist()) for c in np.split(code, np.searchsorted(who, np.arange(1, 1000)))])
+    assert np.mean([bool(a & b) for a, b in zip(*lists)]) >= 0.98
+    planes = np.random.default_rng(1).normal(size=(dim, capjoin.SKETCH))
+    assert (((x @ planes > 0) != (y @ planes > 0)).sum(1) <= capjoin.sketch_bound(0.93)).all()
+
+
+def test_a_unit_holds_little_memory():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1, 64)) + 0.05 * rng.normal(size=(2 * capjoin.PAGE_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rep = np.arange(len(x))
+    tracemalloc.start()
+    a, _, links = capjoin._circle_links(rep, np.ones(len(x), int), x, rep * 0, [rng.integers(0, 99, 20) for _ in rep], 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == len(x) - 1 and peak < 150 << 20
+
+
+def test_stored_doubles_and_clashing_columns(spark):
+    rows = [(k, 0, [float(x) for x in v], 1) for k, v in enumerate(np.random.default_rng(1).normal(size=(20, 8)))]
+    rows += [(100 + k, 0, [3.0 * x for x in r[2]], 1) for k, r in enumerate(rows[:5])]
+    out = {r["vec_id"]: r["component_id"] for r in capjoin.join(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, raw int")).collect()}
+    assert all(out[100 + k] == out[k] for k in range(5)) and len(out) == 25
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
