@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 
 from ..storage import materialize
 from .bpe import id_bytes, load
-from .textkernel import chunks
+from .groups import free_name
+from .textkernel import chunks, small_batches
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length are ranked in this many independent parts.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked in one task; a length has as many parts as it takes.
+RANK_ROWS = 1 << 20
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -70,7 +71,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 class _Tree:
@@ -145,29 +146,30 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_parts: int = RANK_PARTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any other columns) with sequence_id
-    and offset. Fewest bins that best-fit decreasing finds; full pieces stand
-    alone. Rows are ranked inside (length, part), so no length meets in one task."""
+    and offset. Fewest bins that best-fit decreasing finds. Full pieces stand
+    alone, in sequences numbered below zero, and aren't ranked; the others are
+    ranked inside (length, part), so however many pieces have one length, a task
+    ranks about ``rank_rows`` of them."""
     spark = pieces.sparkSession
     taken = set(pieces.columns)
-    part, rank, base, place = (_free_name(n, taken) for n in ("part", "rank", "base", "place"))
-    dealt = pieces.withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(rank_parts)).cast("int"))
-    dealt = materialize(dealt, "pieces")
-    counts = dealt.groupBy("length", part).agg(F.count("*").alias("n"))
-    # one row for each length and part: at most capacity * rank_parts rows
-    table = sorted((r["length"], r[part], r["n"]) for r in counts.collect())
+    part, rank, parts = (free_name(n, taken) for n in ("part", "rank", "parts"))
+    stored = materialize(pieces, "pieces")
+    short = stored.where(F.col("length") < capacity)
+    # one row for each length: at most capacity rows
+    many = [(r["length"], -(-r["n"] // rank_rows)) for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()]
+    several = spark.createDataFrame(many, f"length long, {parts} int")
+    dealt = short.join(F.broadcast(several), "length").withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), parts).cast("int"))
+    # one row for each length and part: capacity rows and one for each rank_rows pieces
+    table = sorted((r["length"], r[part], r["n"]) for r in dealt.groupBy("length", part).agg(F.count("*").alias("n")).collect())
     histogram: dict[int, int] = {}
-    before = []
+    start = {length: np.zeros(n, np.int64) for length, n in many}
     for length, p, n in table:
-        before.append((length, p, histogram.get(length, 0)))
+        start[length][p] = histogram.get(length, 0)
         histogram[length] = histogram.get(length, 0) + n
     scheme = plan(histogram, capacity)
-    start = np.full((capacity + 1, rank_parts), -1, np.int64)
-    for length, p, n in before:
-        start[length, p] = n
-    lengths = sorted(scheme)
-    table_of = {n: np.array(scheme[n], np.int64) for n in lengths}
+    table_of = {n: np.array(scheme[n], np.int64) for n in sorted(scheme)}
     shared = spark.sparkContext.broadcast((start, table_of))
 
     order = Window.partitionBy("length", part).orderBy("doc_id", "piece")
@@ -179,20 +181,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_parts: int = RANK_PAR
         start, table_of = shared.value
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            row = start[length, batch.column(part).to_numpy()] + batch.column(rank).to_numpy() - 1
-            sequence, offset = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+            own_part, own_rank = batch.column(part).to_numpy(), batch.column(rank).to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             edges = np.flatnonzero(np.diff(length[order])) + 1
             for own in np.split(order, edges) if len(order) else []:
                 n = int(length[own[0]])
                 rows = table_of[n]
-                use = rows[np.searchsorted(rows[:, 0], row[own], "right") - 1]
-                ahead = row[own] - use[:, 0]
+                row = start[n][own_part[own]] + own_rank[own] - 1
+                use = rows[np.searchsorted(rows[:, 0], row, "right") - 1]
+                ahead = row - use[:, 0]
                 sequence[own] = use[:, 2] + ahead // use[:, 1]
                 offset[own] = use[:, 3] + ahead % use[:, 1] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    alone = stored.where(F.col("length") >= capacity)
+    alone = alone.select(*keep, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.select(*keep, part, rank).mapInArrow(run, schema).unionByName(alone)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -202,9 +207,3 @@ def sequences(packed: DataFrame) -> DataFrame:
     out = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     ids = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     return out.select("sequence_id", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]).alias("n_ids"), ids.alias("ids"))
-
-
-def _free_name(name: str, taken: set[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name

@@ -92,7 +92,10 @@ def test_pack_documents(spark):
     for docs in (odd_table(spark), sf(spark, "documents").limit(150), docs_table(spark, [])):
         docs = docs.withColumn("part", F.lit(1)).withColumn("rank", F.lit("x"))
         pieces = packing.tokenize(docs, PATH, capacity=512).withColumn("ids_crc32", F.crc32("ids"))
-        check(packing.pack(pieces.drop("ids").withColumn("part", F.lit(3)), capacity=512), docs, 512)
+        for rank_rows in (packing.RANK_ROWS, 2):
+            packed = packing.pack(pieces.drop("ids").withColumn("part", F.lit(3)), capacity=512, rank_rows=rank_rows)
+            check(packed, docs, 512)
+            assert all((r["sequence_id"] < 0) == (r["length"] == 512) for r in packed.collect())
 
 
 def test_sequences_hold_their_pieces(spark):
@@ -101,3 +104,21 @@ def test_sequences_hold_their_pieces(spark):
     out = packing.sequences(packed).collect()
     assert sum(r["n_ids"] for r in out) == packed.agg(F.sum("length")).first()[0]
     assert all(len(r["ids"]) == 4 * r["n_ids"] <= 256 for r in out)
+
+
+def test_documents_need_no_more_sequences_than_their_tokens():
+    """Best-fit decreasing reaches the lower bound on this table."""
+    import pyarrow.parquet as pq
+
+    model = bpe.load(PATH)
+    count = defaultdict(int)
+    for _, _, chunk in chunks(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"]):
+        for n in (model.encode(chunk)[1][1:] - model.encode(chunk)[1][:-1] + 1).tolist():
+            if n % 4096:
+                count[n % 4096] += 1
+    scheme = packing.plan(dict(count))
+    used = set()
+    for n, rows in scheme.items():
+        for (rank, each, first, _), after in zip(rows, [r[0] for r in rows[1:]] + [count[n]]):
+            used.update(range(first, first + -(-(after - rank) // each)))
+    assert len(used) == -(-sum(n * k for n, k in count.items()) // 4096)
