@@ -1,13 +1,19 @@
 """Quality rules: fixed base rules, and a decision list learned from labels.
 
-Sequential covering grows a conjunction of thresholds on ratio features by
-information gain over one part of the labelled rows, prunes it on the other,
-removes what it covers, and goes on; the ordered list becomes one Spark
-conditional expression. Statistics come from whole texts.
+Sequential covering grows, for either verdict, a conjunction of thresholds on
+ratio features by information gain over one part of the labelled rows and prunes
+it on the other, where it must prove its precision. Of the two rules the more
+precise one joins the list and takes the rows that it covers away; so a rule
+holds for what the rules before it leave, and a rule that keeps shields its rows
+from the rejecting rules behind it. A verdict whose rule fails the test is asked
+again after the other has covered more. What no rule covers is kept. The ordered
+list becomes one Spark conditional expression. Statistics come from whole texts.
 
 Null and empty texts have no words and fail the base rules. Labels of null or
 for absent documents are ignored; without usable labels the list is empty and
-keeps what passes the base rules. Repeated rows are judged one by one.
+keeps what passes the base rules. Repeated rows are judged one by one; very long
+texts cost memory in proportion (see ``textkernel``). Other columns pass through
+``kept_rows`` whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,52 +102,66 @@ def _gain(x: np.ndarray, bad: np.ndarray, above: bool) -> tuple[float, float]:
 
 
 def learn(features: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 12, max_tests: int = 3, precision: float = 0.95, support: int = 8) -> list[Rule]:
-    """Ordered rejecting rules; what none covers is kept. A rule stays if it is
-    right for at least ``precision`` of the pruning rows that it covers and has
-    ``support`` growing rows."""
+    """An ordered list of rules; what none covers is kept. A rule needs ``support``
+    growing rows of its verdict, and to be right for at least ``precision`` of
+    the pruning rows that it covers, of which there must be some."""
     rows = len(good)
     grow = np.arange(rows) % 3 != 2
     alive = np.ones(rows, bool)
-    bad = ~good
     rules: list[Rule] = []
 
     def holds(t: Test) -> np.ndarray:
         x = features[t.feature]
         return x >= t.cut if t.above else x < t.cut
 
-    def worth(tests: list[Test], on: np.ndarray) -> float:
+    def covered(tests: list[Test], on: np.ndarray) -> np.ndarray:
         hit = on.copy()
         for t in tests:
             hit &= holds(t)
-        p, n = (hit & bad).sum(), (hit & good).sum()
-        return (p - n) / (p + n) if p + n else -1.0
+        return hit
 
-    while len(rules) < max_rules and (alive & bad & grow).sum() >= support:
+    def worth(hit: np.ndarray, wanted: np.ndarray) -> float:
+        """Share of right rows, drawn to one half where there are few."""
+        return ((hit & wanted).sum() + 1) / (hit.sum() + 2)
+
+    def grown(wanted: np.ndarray) -> list[Test]:
         tests: list[Test] = []
         cover = alive & grow
-        while len(tests) < max_tests and (cover & good).any():
+        while len(tests) < max_tests and (cover & ~wanted).any():
             best, chosen = 0.0, None
             for name, x in features.items():
                 for above in (True, False):
-                    gain, cut = _gain(x[cover], bad[cover], above)
+                    gain, cut = _gain(x[cover], wanted[cover], above)
                     if gain > best + 1e-9:
                         best, chosen = gain, Test(name, above, cut)
             if chosen is None:
                 break
             tests.append(chosen)
             cover &= holds(chosen)
-        if not tests:
-            break
         prune = alive & ~grow
-        while len(tests) > 1 and worth(tests[:-1], prune) >= worth(tests, prune):
+        while len(tests) > 1 and worth(covered(tests[:-1], prune), wanted) >= worth(covered(tests, prune), wanted):
             tests = tests[:-1]
-        hit = alive.copy()
-        for t in tests:
-            hit &= holds(t)
-        if (hit & grow & bad).sum() < support or (hit & bad).sum() < precision * hit.sum():
+        return tests
+
+    while len(rules) < max_rules and (alive & ~good & grow).sum() >= support:
+        found = []
+        for keep in (False, True):
+            wanted = good if keep else ~good
+            tests = grown(wanted)
+            if not tests:
+                continue
+            hit = covered(tests, alive)
+            proof = hit & ~grow
+            if (hit & grow & wanted).sum() < support or not proof.any() or (proof & wanted).sum() < precision * proof.sum():
+                continue
+            found.append((worth(proof, wanted), not keep, Rule(tuple(tests), keep), hit))
+        if not found:
             break
-        rules.append(Rule(tuple(tests), keep=False))
+        _, _, rule, hit = max(found, key=lambda f: f[:2])
+        rules.append(rule)
         alive &= ~hit
+    while rules and rules[-1].keep:  # the default says so anyway
+        rules.pop()
     return rules
 
 
