@@ -16,7 +16,11 @@ Lines of links in the lower cluster go wherever they are, but for a single ``p``
 between lines of a content region.
 
 White space inside a block becomes one space; blocks follow page order, joined by
-two line feeds; nothing is shortened. Null and empty pages give an empty text.
+two line feeds; nothing is shortened. Null and empty pages give an empty text; so
+do pages of links without an article. Very long pages are fed to the parser in
+slices and cost memory in proportion. Each row is read by itself, so repeated rows
+are read alike; other columns, whatever their names, are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textkernel import small_batches
+
 SIGMA, SLICE = 1.0, 1 << 16
 #: What being in an article or main element adds to a line's level, as a ratio four times as high would.
 PRIOR = float(np.log(4))
@@ -293,4 +299,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x.as_py()) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, schema)

@@ -3,11 +3,14 @@ import html
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import htmltext, quality, queries, warc
 
+from shelfmark.storage import materialize
+
 from .helpers import docs_table, odd_table, sf
 
 PAGES = "page_id long, url string, html string, size int, digest string"
@@ -96,6 +99,28 @@ def test_clusters_decide_on_pages_with_an_article():
     assert htmltext.main_text(f"<article>{paragraphs}<p>Short.</p></article>") == "\n\n".join([*want[:2], "Short."])
 
 
+def test_without_levels_or_clusters_results_change(monkeypatch):
+    long = "A sentence that belongs to the article and goes on for quite a while, as they do. " * 4
+    links = "<ul>" + "".join(f"<li><a href=x{k}>Other story {k}</a></li>" for k in range(8)) + "</ul>"
+    menu = "<div>" + "".join(f"<p>Menu item {k}</p>" for k in range(8)) + "</div>"
+    pages = [f"<article><p>{long}</p><p>{long}</p>{links}<p>{long}</p></article>", f"<body>{menu}<div><p>{long}</p><p>{long}</p></div></body>"]
+    want = ["\n\n".join([long.strip()] * n) for n in (3, 2)]
+    assert [htmltext.main_text(p) for p in pages] == want
+    with monkeypatch.context() as flat:
+        flat.setattr(htmltext, "_smoothed", lambda x: np.zeros(len(x)))
+        assert all(htmltext.main_text(p) != w for p, w in zip(pages, want))
+    with monkeypatch.context() as flat:
+        flat.setattr(htmltext, "_cut", lambda x: float(x.min()))
+        assert all(htmltext.main_text(p) != w for p, w in zip(pages, want))
+
+
+def test_odd_tables_of_pages(spark):
+    rows = [(1, "u", "<p>twice</p>", "x", 5), (1, "u", "<p>twice</p>", "x", 5), (2, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(pages).collect()) == [(1, "twice", 5), (1, "twice", 5), (2, "", 0)]
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
 def test_regions_without_an_article_stay_whole():
     text = lambda n, k=0: (f"Paragraph {k} of {n}. " + "words of the text and " * n)[: n - 1] + "."
     lengths = [(200, 600, 180, 550, 220, 90, 80, 500, 600), (500, 600, 30, 35, 25, 600, 550), (400, 30), (30, 400, 400, 400, 25), (*[30] * 40, 600, 600, *[30] * 40)]
@@ -132,20 +157,65 @@ def test_names_leave_layout_wrappers_and_most_text():
 
 def test_quality_on_held_out_rows(spark):
     docs, labels = sf(spark, "documents", "sf0.1"), sf(spark, "labels", "sf0.1")
-    model = quality.learn(docs.withColumn("positive", F.lit("clash")), labels)
+    table = materialize(quality.prepared(docs.withColumns({"positive": F.lit("clash"), "features": F.lit("clash")})), "features")
+    model = quality.learn(table, labels)
     assert 0.7 < model.prior < 0.97
-    out = quality.score(docs, model)
+    out = quality.score(table, model)
     assert out.count() == docs.count()
     held = out.where("held_out").join(labels, "doc_id")
     right = held.where("predicted = quality").count() / held.count()
     assert right > 0.97
     import zlib
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out.limit(50).collect())
+    # the pass over all rows gives the loss and gradient that the rows have
+    x = model.scaled(np.array([r["features"] for r in table.limit(300).collect()], float))
+    loss, grads = quality._negative_losses(table.limit(300), model)
+    want = quality.losses(model.weights, x, False)
+    assert np.isclose(loss, want[0] / 300) and all(np.allclose(a, b / 300) for a, b in zip(grads, want[1]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_risk_gradient_by_differences(seed):
+    rng = np.random.default_rng(seed)
+    w = [rng.normal(size=s) for s in ((3, 4), 4, 4, 1)]
+    p, u = rng.normal(1, 1, (30, 3)), rng.normal(size=(50, 3))
+    prior = (0.3, 0.99)[seed % 2]
+
+    def value(w):
+        of = lambda x, sign: quality._mean(quality.losses(w, x, sign), len(x))
+        return quality.risk(prior, of(p, True), of(p, False), of(u, False)), of(u, False)[0] - prior * of(p, False)[0]
+
+    (_, grads), below = value(w)
+    for k, part in enumerate(w):
+        for at in np.ndindex(part.shape):
+            moved = []
+            for step in (1e-5, -1e-5):
+                other = [a.copy() for a in w]
+                other[k][at] += step
+                (r, _), b = value(other)
+                moved.append(-b if below < 0 else r)
+            assert np.isclose((moved[0] - moved[1]) / 2e-5, grads[k][at], rtol=1e-3, atol=1e-6)
+
+
+@pytest.mark.parametrize("share", (0.2, 0.5, 0.8))
+def test_prior_of_a_known_mixture(share):
+    rng = np.random.default_rng(7)
+    sp = rng.normal(3, 1, 4000)
+    su = np.concatenate([rng.normal(3, 1, int(40_000 * share)), rng.normal(-1, 1, int(40_000 * (1 - share)))])
+    edges = np.linspace(-8, 8, quality.BINS)
+    counts = np.bincount(np.clip(np.searchsorted(edges, su, "right") - 1, 0, len(edges) - 1), minlength=len(edges))
+    assert abs(quality.best_bin(sp, edges, counts.astype(float)) - share) < 0.05
 
 
 def test_quality_on_odd_rows(spark):
     docs, none = odd_table(spark), spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
-    assert quality.learn(docs, none) is None
-    rows = quality.score(docs, None).collect()
+    table = quality.prepared(docs)
+    assert quality.learn(table, none) is None
+    rows = quality.score(table, None).collect()
     assert len(rows) == docs.count() and {r["score"] for r in rows} == {0.5} and {r["predicted"] for r in rows} == {1}
-    assert quality.score(docs_table(spark, []), None).count() == 0
+    empty = quality.prepared(docs_table(spark, []))
+    assert quality.score(empty, None).count() == 0 and quality.learn(empty, none) is None
+    # one positive and an empty text are enough to learn from
+    few = spark.createDataFrame([(2, 1), (5, 1), (6, 0), (6, 1)], "doc_id long, quality int")
+    model = quality.learn(materialize(table, "features"), few)
+    assert all(0 <= r["score"] <= 1 for r in quality.score(table, model).collect())
