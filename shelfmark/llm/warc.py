@@ -11,7 +11,9 @@ by the identifier of their origin, ordered by segment number, checked for gaps
 and against the total length, joined, and the chunked framing is decoded.
 
 Archives are written, gzipped, by Spark's own text writer, so any file system
-that Spark reaches can hold them; records are bytes and end in \r\n\r\n.
+that Spark reaches can hold them; records are bytes and end in \r\n\r\n. A file
+holds about FILE_BYTES before compression, and its reader some copies of that;
+the segments of one page meet in one task, which holds that page.
 Null html is an empty payload. A row without page_id gives a record without one,
 and is a revisit if a row with an id has its payload. Rows that share page_id
 and payload are all responses if theirs is the largest id. An empty table gives
@@ -24,6 +26,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +34,12 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, materialize
 from . import groups
+from .textkernel import small_batches
 
 LEAST = 1000
-SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 32 << 10, 4 << 10, 512
+SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 4 << 10
+#: An archive file holds records of about so many bytes before compression; its reader holds it whole.
+FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -105,15 +111,23 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Archives of all ``pages`` (page_id, url, html) under ``path``."""
+    """Archives of all ``pages`` (page_id, url, html) under ``path``. Who keeps
+    a payload is decided on slim rows; payloads are shuffled only if the revisits
+    are too many to be broadcast, and then by page, never by digest."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    large = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull())
-    first = large.groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("keeper"))
-    joined = rows.join(first, ["digest", "size"], "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper.page_id")), F.col("keeper"))
-    rows = joined.select("page_id", "url", "digest", F.when(refers.isNull(), F.col("payload")).alias("payload"), refers["page_id"].alias("to_id"), refers["url"].alias("to_url"))
+    slim = materialize(rows.select("page_id", "url", "digest", "size"), "digests")
+    large = slim.where(F.col("size") >= least)
+    copies = large.groupBy("digest", "size").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("keeper"), F.count("*").alias("c"))
+    copies = materialize(copies.where("c > 1 and keeper is not null").drop("c"), "keepers")
+    again = large.select("page_id", "digest", "size").join(groups.few(copies), ["digest", "size"]).where("page_id is null or page_id < keeper.page_id")
+    again = again.select("page_id", "digest", F.col("keeper.page_id").alias("to_id"), F.col("keeper.url").alias("to_url")).distinct()
+    again = groups.few(materialize(again, "revisits")).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "to_id", "to_url")
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    rows = joined.select("page_id", "url", "digest", F.when(F.col("to_id").isNull(), F.col("payload")).alias("payload"), "to_id", "to_url")
+    mean = slim.agg(F.avg(F.least(F.col("size"), F.lit(segment_bytes)))).first()[0] or 0.0
+    file_records = max(1, int(FILE_BYTES / (mean + 1024)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +140,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     made = rows.mapInArrow(run, "record binary")
-    made.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def inflated(archive: bytes) -> bytes:
@@ -179,52 +193,67 @@ def reassemble(parts: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-_ROW = "record_id string, page_id long, type string, digest string, refers string, origin string, segment int, total long, payload binary"
+_ROW = "record_id string, page_id long, type string, digest string, refers string, origin string, segment int, total long, payload binary, bytes long, sha1 string"
+_NAMES = [f.split(" ")[0] for f in _ROW.split(", ")]
+_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
 
 
-def _parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Records; whole responses have their payload, segments their bare block."""
+def _parsed(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """Records; whole responses have their payload, or with ``payloads`` false
+    its size and digest; segments have their bare block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "page_id", "type", "digest", "refers", "origin", "segment", "total", "payload"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
         whole = lambda x: None if x is None else int(x)
         for batch in batches:
             for archive in batch.column(0):
-                rows = []
-                for h, block in parse(inflated(archive.as_py())):
-                    segment = whole(h.get("warc-segment-number"))
-                    kind = h.get("warc-type")
-                    body = block if segment else payload_of(block) if kind == "response" else None
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    origin = h.get("warc-segment-origin-id", h["warc-record-id"]) if segment else None
-                    rows.append((h["warc-record-id"], whole(h.get("x-page-id")), kind, digest, h.get("warc-refers-to"), origin, segment, whole(h.get("warc-segment-total-length")), body))
-                for k in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256]), types)], names=names)
+                parsed = parse(inflated(archive.as_py()))
+                while part := list(islice(parsed, 256)):
+                    rows = []
+                    for h, block in part:
+                        segment = whole(h.get("warc-segment-number"))
+                        kind = h.get("warc-type")
+                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                        origin = h.get("warc-segment-origin-id", h["warc-record-id"]) if segment else None
+                        row = (h["warc-record-id"], whole(h.get("x-page-id")), kind, digest, h.get("warc-refers-to"), origin, segment, whole(h.get("warc-segment-total-length")))
+                        body = block if segment else payload_of(block) if kind == "response" else None
+                        rows.append((*row, *_held(body, payloads or bool(segment))))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, _ROW)
 
 
-def _reassembled(segments: DataFrame) -> DataFrame:
+def _held(body: bytes | None, payloads: bool) -> tuple[bytes | None, int | None, str | None]:
+    """The payload, if wanted, and its size and digest."""
+    if body is None:
+        return None, None, None
+    return (body, len(body), None) if payloads else (None, len(body), hashlib.sha1(body).hexdigest())
+
+
+def _reassembled(segments: DataFrame, payloads: bool) -> DataFrame:
+    """Whole responses from their segments, as ``_parsed`` gives them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups.runs(batches, ["origin"]):
             for first, last in groups.bounds(batch, ["origin"]):
-                rows = batch.slice(first, last - first).to_pylist()
+                rows = batch.slice(first, last - first).select(["record_id", "page_id", "type", "digest", "refers", "segment", "total", "payload"]).to_pylist()
                 payload = payload_of(reassemble([(r["segment"], r["total"], r["payload"]) for r in rows]))
-                heads = [r for r in rows if r["type"] == "response"]
-                fields = [(r["record_id"], r["page_id"], r["type"], r["digest"], r["refers"], None, None, None, payload) for r in heads]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*fields), batch.schema)], schema=batch.schema)
+                fields = [(r["record_id"], r["page_id"], r["type"], r["digest"], r["refers"], None, None, None, *_held(payload, payloads)) for r in rows if r["type"] == "response"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*fields), _TYPES)], names=_NAMES)
 
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return segments.repartition(parts, "origin").sortWithinPartitions("origin", "segment").mapInArrow(run, _ROW)
 
 
+def _records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """All records. Archives are parsed once; what that gives is written."""
+    parsed = materialize(_parsed(spark, path, payloads), "parsed")
+    return parsed.where("segment is null").unionByName(_reassembled(parsed.where("segment is not null"), payloads))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """record_id, page_id, type (response or revisit), digest, refers (a record
     id), payload (null for revisits) of each page in the archives."""
-    parsed = _parsed(spark, path)
-    whole = parsed.where("segment is null").unionByName(_reassembled(parsed.where("segment is not null")))
-    return whole.select("record_id", "page_id", "type", "digest", "refers", "payload")
+    return _records(spark, path, True).select("record_id", "page_id", "type", "digest", "refers", "payload")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -234,8 +263,7 @@ def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST, se
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     write(pages, path, least, segment_bytes)
-    slim = read(spark, path).select("record_id", "page_id", "type", "refers", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), F.col("digest").alias("claimed"))
-    slim = materialize(slim, "records")
+    slim = materialize(_records(spark, path, False).select("record_id", "page_id", "type", "refers", "bytes", "sha1", F.col("digest").alias("claimed")), "records")
     stored = slim.where("type = 'response'")
     wrong = stored.where("sha1 <> claimed").limit(1).collect()
     if wrong:
