@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from . import capjoin, htmltext, jaccard, lines, mixing, packing, quality, rules, secretscan, warc
 
 
@@ -25,8 +26,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = secretscan.train(secretscan.labelled_findings())
-    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents"), net))
+    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents"), secretscan.default_network()))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.score(docs, quality.learn(docs, labels))
+    prepared = materialize(quality.prepared(table(spark, sf_dir, "documents")), "features")
+    return quality.score(prepared, quality.learn(prepared, table(spark, sf_dir, "labels")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,9 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard.ORACLE,
+    "op4_embedding_near_dedup": capjoin.ORACLE,
+    "op5_line_dedup": lines.ORACLE,
+    "op9_warc": warc.ORACLE,
+}
